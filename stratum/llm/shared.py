@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -70,3 +71,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(archive))
     sc._stratum_shipped = True
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps: they stay as long as the driver's garbage does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

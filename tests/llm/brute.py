@@ -42,3 +42,37 @@ def substring_dedup(docs, window):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+def _lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, size=5):
+    w = WORD.findall(_lower(text))
+    if len(w) < size:
+        return {tuple(w)} if w else set()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+def jaccard_components(docs, percent=80):
+    """docs with distinct ids -> {doc_id: (n_shingles, component_id)}."""
+    sets = {d: shingles(t) for d, t in docs}
+    where = defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            where[x].add(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sets.items():
+        shared = Counter(e for x in s for e in where[x] if e < d)
+        for e, both in shared.items():
+            if 100 * both >= percent * (len(s) + len(sets[e]) - both):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
