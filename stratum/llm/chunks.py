@@ -41,11 +41,15 @@ NO_ID = (1 << 63) - 1
 CHUNKS = "rid long, doc_id long, start int, windows int, anchor long, chunk long, again boolean"
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, text): rid tells rows apart; rows that repeat both id and text share it, and so their result."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, text, rest): rid tells rows apart; rows that repeat both id and text share it, and so their result.
+
+    rest holds the columns to carry along.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).select(
-        F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text"
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("boolean")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), rest.alias("rest")).select(
+        F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text", "rest"
     )
 
 
@@ -216,14 +220,15 @@ def find_repeats(
     across_documents: bool,
     decide: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
+    carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, for each rid the decided chunks as an array `marks`).
 
     decide turns sorted chunk texts of one partition into rows of `schema`,
     which begins with anchor and chunk.
     """
-    rows = keyed(docs)
-    chunks = materialize(cut_chunks(rows, window, gram, words), "chunks", "lz4")
+    rows = keyed(docs, carry=carry)
+    chunks = materialize(cut_chunks(rows.select("rid", "doc_id", "text"), window, gram, words), "chunks", "lz4")
     standing = materialize(repeated_chunks(chunks, across_documents), "standing")
     decided = chunk_texts(rows, standing, window, words).mapInArrow(decide, schema)
     extra = [c for c in decided.columns if c not in ("anchor", "chunk")]

@@ -71,23 +71,31 @@ def latest_state(spark: SparkSession, out: str) -> DataFrame:
 def verify_bytes(docs: DataFrame, state: DataFrame, text_col: str = "text") -> None:
     """Compares the whole texts behind every digest that was hit again; different texts under one digest raise.
 
-    The least and the greatest text of a digest are equal only if all are; both
-    are found by partial aggregation, so no task sees a whole group of copies.
+    Equal texts collapse under partial aggregation, so no task sees a whole
+    group of copies; what is left is counted by digest.
     """
     hits = state.where("group_size > 1").select("digest")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    spread = (
+    clash = (
         docs.select(text.alias("t"))
         .select(F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), "t")
+        .groupBy("digest", "t")
+        .agg(F.lit(1).alias("one"))
         .groupBy("digest")
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-        .where("lo <> hi")
+        .count()
+        .where("count > 1")
     )
-    bad = spread.join(hits, "digest", "left_semi").limit(1).count()
-    if bad:
+    if clash.join(hits, "digest", "left_semi").limit(1).count():
         raise ValueError("different texts share a digest; nothing was merged")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps."""
+    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
+    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_anti")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, locator.
 

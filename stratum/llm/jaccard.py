@@ -397,3 +397,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     full = labelled.where("n_shingles > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return empty.unionByName(full.join(least, "root").select("doc_id", "n_shingles", "component_id"))
+
+
+def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least id of their component, or no id."""
+    found = jaccard_components(docs, size, percent)
+    dropped = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")

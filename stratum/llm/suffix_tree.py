@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import NO_ID, anchor_blocks, find_repeats
 from .shared import ship
@@ -97,14 +99,18 @@ def least_owner(symbols: np.ndarray, starts: np.ndarray, windows: np.ndarray, ow
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8, block: int = 1 << 20, subtree: int = 1 << 16) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, window: int = 50, gram: int = 8, block: int = 1 << 20, subtree: int = 1 << 16,
+    carry: tuple[str, ...] = (), whole: bool = False,
+) -> DataFrame:
     """Removes every word that a window of `window` words covers which also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the words that
     stay, joined by one space).  Null, empty and short texts lose nothing.  A
     null id is larger than any other and stays null; rows that repeat an id are
     one document, so they take nothing from each other.  An empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read, but those in `carry`
+    come along; with `whole`, texts that lose nothing stay as they are in `kept`.
     """
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window is needed")
@@ -126,7 +132,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8, block: int
                 names=["anchor", "chunk", "least"],
             )
 
-    rows, marks = find_repeats(docs, window, gram, True, True, decide, "anchor long, chunk long, least array<long>")
+    rows, marks = find_repeats(docs, window, gram, True, True, decide, "anchor long, chunk long, least array<long>", carry)
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    if carry:
+        schema.add(rows.schema["rest"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
@@ -151,6 +160,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8, block: int
                 own_words = np.flatnonzero(stay[a:b]) + a
                 kept.append(spans_join(words.buf, words.start[own_words], words.end[own_words]))
                 removed.append(b - a - len(own_words))
+                if whole and not removed[-1]:
+                    i = len(removed) - 1
+                    kept[-1] = words.buf[words.offsets[i] : words.offsets[i + 1]].tobytes()
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
@@ -158,8 +170,22 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8, block: int
                     pa.array(removed, pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                     pa.array(kept, pa.binary()).cast(pa.string()),
+                    *([batch.column("rest")] if carry else []),
                 ],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+                names=schema.names,
             )
 
-    return rows.join(marks, "rid", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(marks, "rid", "left").mapInArrow(finish, schema)
+
+
+def keep_first_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """docs with the words that substring_dedup removes taken out of `text`, n_chars adjusted; texts that lose nothing stay as they are."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    got = substring_dedup(docs, window, carry=(*others, "n_chars"), whole=True)
+    cut = F.col("n_removed") > 0
+    columns = {
+        "text": F.col("kept"),
+        "n_chars": F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars")),
+        "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType),
+    }
+    return got.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

@@ -164,6 +164,25 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
     return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, settings: Settings) -> tuple[np.ndarray, float]:
+    return train(*labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class), settings)
+
+
+def clean_documents(
+    docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, settings: Settings = Settings()
+) -> DataFrame:
+    """The rows of docs, with all their columns, that score_toxicity predicts 0 for; no shuffle."""
+    ship(docs.sparkSession)
+    weight, bias = fit(docs, labels, modulus, remainder, settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 19):
+            score = text_scores(make_bags(*column_bytes(batch.column("text")), settings), weight, bias)
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, settings: Settings = Settings()
 ) -> DataFrame:
@@ -176,8 +195,7 @@ def score_toxicity(
     table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    texts, y = labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class)
-    weight, bias = train(texts, y, settings)
+    weight, bias = fit(docs, labels, modulus, remainder, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 19):
