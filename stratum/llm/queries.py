@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, neighbours, packing, quality, suffix_array, suffix_tree, toxicity
+from . import exact_dedup, jaccard, neighbours, packing, quality, suffix_array, suffix_model, suffix_tree, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_learned_partition_neighbours": op2_learned_partition_neighbours,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_suffix_tree_scores": op5_suffix_tree_scores,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,

@@ -76,3 +76,52 @@ def jaccard_components(docs, percent=80):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def suffix_tree_scores(docs, depth=2, least=16, slack=1.0, modulus=7, remainder=2):
+    """{doc_id: (held_out, n_tokens, n_known, N, base, score)}."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    end = ("end",)
+    texts = {d: [*WORD.findall(_lower(t)), end] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % modulus == remainder for d in texts}
+    train = [w for d, w in texts.items() if not held[d]]
+    c = Counter(x for w in train for x in w)
+    n, v = sum(c.values()), len(c)
+    p0 = lambda x: (c[x] + 1) / (n + v + 1)
+    grams = [None] + [Counter(tuple(w[i - k : i + 1]) for w in train for i in range(k, len(w))) for k in range(1, depth + 1)]
+    total = {(x,): k for x, k in c.items()} | {g: k for level in grams[1:] for g, k in level.items()}
+    follow = [None] + [defaultdict(dict) for _ in range(depth)]
+    for k in range(1, depth + 1):
+        for g, m in grams[k].items():
+            follow[k][g[:-1]][g[-1]] = m
+    kept: dict = {}
+
+    def prob(context, x):
+        if not context:
+            return p0(x)
+        parent = prob(context[1:], x)
+        if not kept.get(context):
+            return parent
+        t = kept[context]
+        return (follow[len(context)][context].get(x, 0) + t * parent) / (total[context] + t)
+
+    for k in range(1, depth + 1):
+        for context, nexts in follow[k].items():
+            if all(total.get(context[:j], 0) >= least for j in range(1, k + 1)):
+                g = 0.0
+                for x, m in nexts.items():
+                    parent = float(np.exp(np.float64(np.float16(math.log(prob(context[1:], x))))))
+                    g += m * math.log(m / total[context] / parent)
+                if g > slack * len(nexts):
+                    kept[context] = len(nexts)
+    out = {}
+    for d, w in texts.items():
+        score = sum(math.log10(prob(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w))
+        out[d] = (held[d], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p0(x)) for x in w), score)
+    return out
+
+
