@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import keyed
@@ -103,7 +103,7 @@ def survey(rows: DataFrame, size: int) -> DataFrame:
 
 
 def sketch_levels(seen: DataFrame) -> np.ndarray:
-    """For each cell of the sketch how far above the mean it is, in powers of two; CELLS bytes reach the driver."""
+    """For each cell of the sketch how far above the mean it is, in eighths of powers of two; CELLS bytes reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -117,7 +117,7 @@ def sketch_levels(seen: DataFrame) -> np.ndarray:
     for row in parts.repartition(CELLS // SLICE, "slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
         counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] += np.frombuffer(row["counts"], dtype=np.int64)
     mean = max(1.0, counts.sum() / CELLS)
-    return np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
+    return np.minimum(np.floor(8 * np.log2(np.maximum(counts / mean, 1))), 255).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def fits(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, percent
 
 
 def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs of groups (a, b) from sorted posting lists; rows with a token are members of long lists.
+    """Pairs of groups (a, b) from sorted posting lists, `shared` 1 in short lists, and 2 more where they fit; rows with a token are members of long lists.
 
     Lists stream through: of a list that goes on, its first member and the last
     one are kept, never the whole list.
@@ -187,11 +187,12 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
             size[0] += longer
         run = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(token))))
         long = size[run] > small
-        a, b = [], []
+        a, b, whole = [], [], []
         for d in range(1, small):
             i = np.flatnonzero((token[d:] == token[:-d]) & (~long[d:] | (d == 1)))
             a.append(i)
             b.append(i + d)
+            whole.append(~long[i + d])
         # in a long list: the first member that is not too short
         for r in np.flatnonzero(size > small).tolist():
             o, e = opens[r], opens[r + 1] if r + 1 < len(opens) else len(token)
@@ -199,34 +200,38 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
             first = o + np.searchsorted(n[o:e], -(-percent * n[o:e] // 100))
             a.append(first[first < own])
             b.append(own[first < own])
-        a, b = np.concatenate(a), np.concatenate(b)
-        ok = fits(n[a], place[a], n[b], place[b], percent) & (gid[a] != gid[b])
-        return gid[a[ok]], gid[b[ok]], long
-
-    def out(pair_a, pair_b, token, gid, n, place):
+            whole.append(np.zeros(len(a[-1]), dtype=bool))
+        a, b, whole = np.concatenate(a), np.concatenate(b), np.concatenate(whole)
+        # a pair of a short list counts what it shares even where it doesn't fit, but must fit somewhere
+        fit = fits(n[a], place[a], n[b], place[b], percent)
+        ok = np.where(whole, 100 * n[a] >= percent * n[b], fit) & (gid[a] != gid[b])
+        return gid[a[ok]], gid[b[ok]], whole[ok] + 2 * fit[ok], long
+
+    def out(pair_a, pair_b, whole, token, gid, n, place):
         k, m = len(pair_a), len(token)
         ints = lambda x: pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(x.astype(np.int32))])
         return pa.record_batch(
             [
                 pa.concat_arrays([pa.array(pair_a), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([pa.array(pair_b), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(whole.astype(np.int32)), pa.nulls(m, pa.int32())]),
                 pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(token)]),
                 pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(gid)]),
                 ints(n),
                 ints(place),
             ],
-            names=["a", "b", "token", "gid", "n", "place"],
+            names=["a", "b", "shared", "token", "gid", "n", "place"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the list that the last batch ended in
         streamed: int | None = None  # its members that have been given already
         def close(cols, longer):
-            x, y, long = give(*cols, longer)
+            x, y, whole, long = give(*cols, longer)
             skip = 2 if longer is not None else 0  # first and last member of what was given before
             long = long.copy()
             long[:skip] = False
-            return out(x, y, *(c[long] for c in cols))
+            return out(x, y, whole, *(c[long] for c in cols))
 
         for batch in batches:
             cols = [batch.column(c).to_numpy().astype(np.int64) for c in ("token", "gid", "n", "place")]
@@ -250,7 +255,20 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield close(held, streamed)
 
-    return lists.mapInArrow(run, "a long, b long, token long, gid long, n int, place int")
+    return lists.mapInArrow(run, "a long, b long, shared int, token long, gid long, n int, place int")
+
+
+def enough(shared: Column, na: Column, nb: Column, la: Column, lb: Column, percent: int) -> Column:
+    """Whether two sets can be similar after all that their prefixes have in common.
+
+    shared: tokens that they share in short lists; la, lb: how many tokens of
+    each are in long lists, so that at most the less of the two are shared
+    there.  What is common beyond is in one of the two sets' rest behind its
+    prefix: in that of the set whose prefix ends first in the global order.
+    """
+    least = F.ceil(percent * (na + nb) / (100 + percent))
+    rest = F.greatest(F.ceil(percent * na / 100), F.ceil(percent * nb / 100)) - 1
+    return shared + F.least(la, lb) + rest >= least
 
 
 def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, percent: int, star: int = 256) -> DataFrame:
@@ -312,24 +330,26 @@ def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, perce
 
 
 def across(members: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs of units with one `key` whose components differ.
+    """Pairs of units with one `key` whose components differ, each with its group, size and long-list count.
 
-    members: key, unit, root, n, place.  The largest component of each key is
-    set aside: every pair between components has a member outside of it.
+    members: key, unit, gid, n, listed, root, place.  The largest component of
+    each key is set aside: every pair between components has a member outside
+    of it.  The left unit's group comes first in (n, gid).
     """
     sizes = members.groupBy(key, "root").count()
     most = sizes.groupBy(key).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     open_members = members.join(most, key)
-    left = open_members.where("root <> main").select(key, *(F.col(c).alias(f"{c}_x") for c in ("unit", "root", "n", "place")))
-    na, ia, nb, ib = F.col("n_x"), F.col("place_x"), F.col("n"), F.col("place")
-    similar = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (
-        F.least(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb)
-    )
+    columns = ("unit", "gid", "n", "listed")
+    left = open_members.where("root <> main").select(key, F.struct(*columns).alias("x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"))
+    right = open_members.select(key, F.struct(*columns).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
+    na, ia, nb, ib = F.col("x.n"), F.col("place_x"), F.col("y.n"), F.col("place_y")
+    similar = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb))
+    first = F.struct("x.n", "x.gid", "x.unit") <= F.struct("y.n", "y.gid", "y.unit")
     return (
-        left.join(open_members, key)
-        .where("root_x <> root")
+        left.join(right, key)
+        .where("root_x <> root_y")
         .where(similar)
-        .select(F.least("unit_x", "unit").alias("a"), F.greatest("unit_x", "unit").alias("b"))
+        .select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
         .distinct()
     )
 
@@ -355,35 +375,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     tidy(spark)
     group_of = postings(rows, size, percent, levels, False)
     units = materialize(group_of.groupBy("unit").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("rid").alias("rid")), "units")
-    heads = units.groupBy("gid").agg(F.min("unit").alias("head"))
-    group_pairs = materialize(found.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "distinct-pairs")
+    listed = found.where("token is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("listed"))
+    groups = units.groupBy("gid").agg(F.min("unit").alias("head"), F.min("n").alias("n")).join(listed, "gid", "left")
+    groups = materialize(groups.fillna(0, ["listed"]), "groups")
+    left = groups.select(F.col("gid").alias("a"), F.col("head").alias("x"), F.col("n").alias("na"), F.col("listed").alias("la"))
+    right = groups.select(F.col("gid").alias("b"), F.col("head").alias("y"), F.col("n").alias("nb"), F.col("listed").alias("lb"))
+    shared = found.where("a is not null").groupBy("a", "b").agg(F.sum(F.col("shared") % 2).alias("shared"), F.max("shared").alias("fit"))
+    possible = enough(*(F.col(c) for c in ("shared", "na", "nb", "la", "lb")), percent)
+    group_pairs = materialize(shared.join(left, "a").join(right, "b").where(possible & (F.col("fit") >= 2)).select("a", "b", "shared", "x", "y"), "possible-pairs")
 
     # first: each group with the one group it shares most with, each member with its group's head
-    best = group_pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    first = (
-        best.join(heads.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a")
-        .join(heads.select(F.col("gid").alias("b"), F.col("head").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .unionByName(units.join(heads, "gid").where("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b")))
-    )
-    links = materialize(verify(rows, units, first, size, percent), "links")
+    best = group_pairs.groupBy("b").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "a")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b"))
+    inside = units.join(groups.select("gid", "head"), "gid").where("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
+    links = materialize(verify(rows, units, best.unionByName(inside), size, percent), "links")
     tidy(spark)
 
     # then: what is left between different components
     known = units.join(components(links).withColumnRenamed("node", "unit"), "unit", "left").select(
         "unit", "gid", "n", F.coalesce("root", "unit").alias("root")
     )
-    known = materialize(known, "known")
+    known = materialize(known.join(groups.select("gid", "listed"), "gid"), "known")
     between = (
-        group_pairs.join(known.select(F.col("gid").alias("a"), F.col("unit").alias("x"), F.col("root").alias("rx")), "a")
+        group_pairs.select("a", "b")
+        .join(known.select(F.col("gid").alias("a"), F.col("unit").alias("x"), F.col("root").alias("rx")), "a")
         .join(known.select(F.col("gid").alias("b"), F.col("unit").alias("y"), F.col("root").alias("ry")), "b")
         .where("rx <> ry")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        .select("x", "y")
     )
-    in_group = across(known.withColumn("place", F.lit(0)), "gid", percent)
+    in_group = across(known.withColumn("place", F.lit(0)), "gid", percent).select("x.unit", "y.unit").toDF("x", "y")
     members = found.where("token is not null").select("token", "gid", "place").join(known, "gid")
-    in_list = across(members, "token", percent)
-    second = materialize(between.unionByName(in_group).unionByName(in_list).distinct(), "second-pairs")
+    in_list = across(members, "token", percent).select(
+        F.col("x.unit").alias("x"), F.col("y.unit").alias("y"), F.col("x.gid").alias("a"), F.col("y.gid").alias("b"),
+        F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.listed").alias("la"), F.col("y.listed").alias("lb"),
+    ).where("a <> b")
+    in_list = in_list.join(shared, ["a", "b"], "left").fillna(0, ["shared"]).where(possible).select("x", "y")
+    second = between.unionByName(in_group).unionByName(in_list).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    second = materialize(second.distinct(), "second-pairs")
     links = links.unionByName(verify(rows, units, second, size, percent))
     roots = components(links)
 

@@ -26,7 +26,7 @@ from .textblock import U64, Words, column_bytes, mix64, slices
 class Settings:
     bits: int = 15  # word buckets: 2 ** bits
     factors: int = 4
-    per_class: int = 2500  # labelled texts of each class at most
+    per_class: int = 2000  # labelled texts of each class at most
     epochs: int = 12
     batch: int = 64
     rate: float = 0.1
@@ -92,7 +92,14 @@ def make_features(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> Features
     value = np.concatenate([count / norm[key >> s.bits], stats.ravel()])
     order = np.argsort(owner, kind="stable")
     at = np.searchsorted(owner[order], np.arange(n + 1))
-    return Features(index[order], value[order], at)
+    return Features(index[order].astype(np.int32), value[order].astype(np.float32), at)
+
+
+def join_features(parts: list[Features]) -> Features:
+    """Features of texts that follow each other."""
+    ends = np.cumsum([0, *(p.at[-1] for p in parts)])
+    at = np.concatenate([[0], *(p.at[1:] + e for p, e in zip(parts, ends, strict=False))]).astype(np.int64)
+    return Features(np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]), at)
 
 
 def _repeated_lines(words: Words, n: int) -> np.ndarray:
@@ -130,7 +137,8 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, np.n
     w, v, b = np.zeros(size), rng.normal(0, 0.05, (size, s.factors)), 0.0
     if len(np.unique(y)) < 2:
         return w, np.zeros_like(v), 40.0 if len(y) and y[0] else -40.0
-    f = make_features(*column_bytes(texts), s)
+    parts = slices(iter([pa.record_batch([texts], names=["text"])]), limit=1 << 18)
+    f = join_features([make_features(*column_bytes(part.column("text")), s) for part in parts])
     gw, gv, gb = np.full(size, 1e-6), np.full_like(v, 1e-6), 1e-6
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)

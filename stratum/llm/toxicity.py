@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its byte n-grams (word ends included), a
-passage of `passage` words the mean of its words, and a linear softmax on that
+passage of `passage` words the mean of its words (repetitions count as empty), and a linear softmax on that
 mean gives two classes.  Vectors and softmax are trained jointly in numpy.  A
 text counts as its worst passage: labels are of whole texts, so in training the
 passage that scores highest stands for its text, after a first epoch over
@@ -31,9 +31,9 @@ from .textblock import Words, column_bytes, slices
 class Settings:
     bits: int = 18  # n-gram buckets: 2 ** bits
     dim: int = 8
-    sizes: tuple[int, ...] = (3, 4, 5, 6)
+    sizes: tuple[int, ...] = (3, 4, 5)
     passage: int = 8  # words
-    per_class: int = 2000  # labelled texts of each class at most
+    per_class: int = 1500  # labelled texts of each class at most
     epochs: int = 16
     batch: int = 64
     rate: float = 0.1
@@ -48,6 +48,7 @@ class Bags:
     word_at: np.ndarray  # first n-gram of each word, and the end
     passage_at: np.ndarray  # first word of each passage, and the end
     text_at: np.ndarray  # first passage of each text, and the end
+    word_share: np.ndarray  # what a word counts for in its passage
 
 
 def make_bags(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> Bags:
@@ -94,15 +95,34 @@ def make_bags(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> Bags:
     np.cumsum(passages, out=text_at[1:])
     nth = np.arange(int(text_at[-1])) - np.repeat(text_at[:-1], passages)
     passage_at = np.append(np.repeat(words.first[:-1], passages) + nth * s.passage, words.n)
-    return Bags(flat, word_at, passage_at, text_at)
+    # a passage is the sum of its different words over its full length: neither repetition nor a short end makes a word louder
+    h = words.hashes()
+    owner = np.repeat(np.arange(len(passage_at) - 1), np.diff(passage_at))
+    again = np.zeros(words.n, dtype=bool)
+    for d in range(1, min(s.passage, words.n)):
+        again[d:] |= (h[d:] == h[:-d]) & (owner[d:] == owner[:-d])
+    return Bags(flat, word_at, passage_at, text_at, np.where(again, 0, 1 / s.passage).astype(np.float32))
 
 
-def passage_scores(bags: Bags, weight: np.ndarray, bias: float) -> np.ndarray:
-    """Difference of the two logits for every passage, from the folded table."""
+def join_bags(parts: list[Bags]) -> Bags:
+    """Bags of texts that follow each other."""
+
+    def shifted(name: str) -> np.ndarray:
+        ends = np.cumsum([0, *(getattr(p, name)[-1] for p in parts)])
+        return np.concatenate([[0], *(getattr(p, name)[1:] + e for p, e in zip(parts, ends, strict=False))]).astype(np.int64)
+
+    return Bags(np.concatenate([p.grams for p in parts]), shifted("word_at"), shifted("passage_at"), shifted("text_at"), np.concatenate([p.word_share for p in parts]))
+
+
+def passage_scores(bags: Bags, weight: np.ndarray, bias: float, words: int = 1 << 17) -> np.ndarray:
+    """Difference of the two logits for every passage, from the folded table; a block of words at a time."""
     if not len(bags.grams):
         return np.zeros(0)
-    word = np.add.reduceat(weight[bags.grams], bags.word_at[:-1]) / np.diff(bags.word_at)
-    return np.add.reduceat(word, bags.passage_at[:-1]) / np.diff(bags.passage_at) + bias
+    word = np.empty(len(bags.word_at) - 1)
+    for at in range(0, len(word), words):
+        ends = bags.word_at[at : at + words + 1]
+        word[at : at + words] = np.add.reduceat(weight[bags.grams[ends[0] : ends[-1]]], ends[:-1] - ends[0]) / np.diff(ends)
+    return np.add.reduceat(word * bags.word_share, bags.passage_at[:-1]) + bias
 
 
 def text_scores(bags: Bags, weight: np.ndarray, bias: float) -> np.ndarray:
@@ -119,7 +139,8 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
     if len(np.unique(y)) < 2:
         return np.zeros(1 << s.bits, dtype=np.float32), -40.0
     rng = np.random.default_rng(s.seed)
-    bags = make_bags(*column_bytes(texts), s)
+    parts = slices(iter([pa.record_batch([texts], names=["text"])]), limit=1 << 18)
+    bags = join_bags([make_bags(*column_bytes(part.column("text")), s) for part in parts])
     table = rng.normal(0, 0.002, (1 << s.bits, s.dim)).astype(np.float32)  # what isn't learnt stays near 0
     soft = rng.normal(0, 0.5, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -132,8 +153,12 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
         best = np.full(len(full), -1)
         hit = np.flatnonzero(score == top[owner])
         best[owner[hit]] = hit
-        pick = np.concatenate([best, rng.integers(bags.text_at[:-1][full], bags.text_at[1:][full])[y[full] == 0]])
-        label = np.concatenate([y[full], np.zeros(int((y[full] == 0).sum()), dtype=np.int64)])
+        # of clean texts also the passages that look worst of all, and as many at random
+        clean = np.flatnonzero(y[full][owner] == 0)
+        many = min(len(clean), int((y[full] == 0).sum()))
+        worst = clean[np.argpartition(-score[clean], many - 1)[:many]]
+        pick = np.concatenate([best, worst, rng.choice(clean, many)])
+        label = np.concatenate([y[full], np.zeros(2 * many, dtype=np.int64)])
         order = rng.permutation(len(pick))
         rate = s.rate * (1 - epoch / s.epochs)
         for at in range(0, len(order), s.batch):
@@ -144,7 +169,7 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
             sizes = g1 - g0
             ids = np.repeat(g0 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
             word = np.searchsorted(bags.word_at, ids, side="right") - 1
-            share = 1.0 / ((bags.word_at[word + 1] - bags.word_at[word]) * np.repeat(w1 - w0, sizes))
+            share = bags.word_share[word] / (bags.word_at[word + 1] - bags.word_at[word])
             gram = bags.grams[ids]
             mean = np.add.reduceat(table[gram] * share[:, None], np.cumsum(sizes) - sizes, axis=0)
             logits = mean @ soft + bias
