@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, neighbours, packing, quality, suffix_array, suffix_model, suffix_tree, toxicity
+from . import exact_dedup, jaccard, nbest, neighbours, packing, quality, suffix_array, suffix_model, suffix_tree, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_model.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return nbest.digest(nbest.decode(nbest.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_suffix_tree_scores": op5_suffix_tree_scores,
+    "op6_piece_nbest": op6_piece_nbest,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,

@@ -125,3 +125,17 @@ def suffix_tree_scores(docs, depth=2, least=16, slack=1.0, modulus=7, remainder=
     return out
 
 
+
+
+def segmentations(text, scores, penalty):
+    """All segmentations of a short text as (score, pieces); characters without a piece stand alone."""
+    if not text:
+        return [(0.0, ())]
+    out = []
+    for k in range(1, len(text) + 1):
+        head = text[:k]
+        if head in scores:
+            out += [(scores[head] + s, (head, *p)) for s, p in segmentations(text[k:], scores, penalty)]
+        elif k == 1:
+            out += [(penalty + s, (head, *p)) for s, p in segmentations(text[k:], scores, penalty)]
+    return out
