@@ -16,11 +16,11 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int
 ) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most `per_class` rows of each class that aren't held out.
+    """Texts and 0/1 labels of at most 2 * per_class rows that aren't held out, half of them of each class if there are as many.
 
     The rows with the least hash of the id are taken: a sample of the whole
-    table, the same one on every run, of 2 * per_class rows however large the
-    table is; so its ids may be broadcast.  Null labels and ids are left out; an
+    table, the same one on every run, however large the table is; so its ids may
+    be broadcast.  Where a class is rare the other one fills up.  Null labels and ids are left out; an
     id that is labelled twice counts with its greatest label.
     """
     known = (
@@ -30,9 +30,11 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
+    there = {r["y"]: r["count"] for r in known.where("y in (0, 1)").groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        many = max(per_class, 2 * per_class - there.get(1 - y, 0))
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(many)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(chosen), "doc_id"

@@ -62,12 +62,13 @@ class PieceModel:
         self.widths = np.array([len(x) for x in self.surface], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(self.surface), dtype=np.uint8)
         self.at = np.cumsum(self.widths) - self.widths
-        # every beginning of a piece, with what it is worth if it is a piece itself
-        self.begins: dict[str, tuple[float, tuple[int, ...]] | None] = {}
+        # a tree of characters; "" holds what the piece that ends there is worth
+        self.tree: dict = {}
         for piece, (score, i) in self.scores.items():
-            for k in range(1, len(piece)):
-                self.begins.setdefault(piece[:k], None)
-            self.begins[piece] = (score, (i,))
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (score, (i,))
         self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
     def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
@@ -75,28 +76,54 @@ class PieceModel:
         size = len(text)
         ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
         best = [0.0] + [float("-inf")] * size
-        find = self.begins.get
         for start in range(size):
             here = best[start]
-            end = start + 1
-            hit = find(text[start:end], 0)
-            if not hit:
-                one = (start, self.penalty, tuple(self.bytes[b] for b in text[start:end].encode("utf-8", "surrogatepass")))
-                ends[end].append(one)
-                if here + self.penalty > best[end]:
-                    best[end] = here + self.penalty
-            while hit != 0:
-                if hit:
+            node = self.tree.get(text[start])
+            if node is None or "" not in node:
+                ends[start + 1].append((start, self.penalty, tuple([self.bytes[b] for b in text[start].encode("utf-8", "surrogatepass")])))
+                if here + self.penalty > best[start + 1]:
+                    best[start + 1] = here + self.penalty
+            end = start
+            while node is not None:
+                end += 1
+                if (hit := node.get("")) is not None:
                     score, ids = hit
                     ends[end].append((start, score, ids))
                     if here + score > best[end]:
                         best[end] = here + score
-                end += 1
-                if end > size:
+                if end == size:
                     break
-                hit = find(text[start:end], 0)
+                node = node.get(text[end])
         return ends, best
 
+    def first_two(self, text: str) -> tuple[float, tuple[int, ...], float]:
+        """(best score, its ids, what the second best costs more): Viterbi forward, and backward over the edges that the best way doesn't take."""
+        ends, best = self.lattice(text)
+        size = len(text)
+        taken = [-1] * (size + 1)
+        ids: list[int] = []
+        at = size
+        while at:
+            start, _, own = next(e for e in ends[at] if best[e[0]] + e[1] == best[at])
+            taken[at] = start
+            ids[:0] = own
+            at = start
+        low = float("-inf")
+        behind = [low] * size + [0.0]
+        second = low
+        for end in range(size, 0, -1):
+            far = behind[end]
+            if far == low:
+                continue
+            own = taken[end]
+            for start, score, _ in ends[end]:
+                v = far + score
+                if v > behind[start]:
+                    behind[start] = v
+                if start != own and best[start] + v > second:
+                    second = best[start] + v
+        return best[size], tuple(ids), best[size] - second
+
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations (score, ids), best first."""
         ends, best = self.lattice(text)
@@ -128,8 +155,7 @@ class PieceModel:
         if hit is None:
             if len(self.known) >= 500_000:
                 self.known.clear()
-            two = self.search(text, 2 if self.n > 1 else 1)
-            hit = self.known[text] = (*two[0], two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
+            hit = self.known[text] = self.first_two(text)
         return hit
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:

@@ -44,7 +44,7 @@ class Settings:
     depth: int = 2
     least: int = 16  # training occurrences of a context
     slack: float = 1.0
-    block: int = 8 << 20  # bytes of text
+    block: int = 4 << 20  # bytes of text
     salts: int = 16  # of a heavy context
 
 
