@@ -9,7 +9,7 @@
   group; groups, not documents, go into the posting lists, filtered by size and
   position.
 * Lists of up to `small` groups give all their pairs.  A longer list gives each
-  group its first fitting group and its neighbour only; later, when most of the
+  group its first fitting group only; later, when most of the
   list is known to be one component, just the pairs between different
   components.  So copies by the thousand cost a star, and no link between
   components is missed.
@@ -33,7 +33,8 @@ from .components import components
 from .shared import materialize, partitions, ship, tidy
 from .textblock import U64, Words, column_bytes, gram_hashes, mix64, slices
 
-CELLS = 1 << 20  # of the count sketch: 4 MB in all, whatever the input
+BITS = 22
+CELLS = 1 << BITS  # of the count sketch: 4 MB for its levels, whatever the input
 SLICE = 1 << 16
 
 
@@ -83,7 +84,7 @@ def survey(rows: DataFrame, size: int) -> DataFrame:
         counts = np.zeros(CELLS, dtype=np.int64)
         for batch in slices(batches, limit=1 << 20):
             value, at = shingle_sets(*column_bytes(batch.column("text")), size)
-            counts += np.bincount((value >> U64(44)).astype(np.int64), minlength=CELLS)
+            counts += np.bincount((value >> U64(64 - BITS)).astype(np.int64), minlength=CELLS)
             n = batch.num_rows
             yield pa.record_batch(
                 [batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(at)), pa.array(set_keys(value, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
@@ -125,7 +126,10 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, tokens: bool) -> DataFrame:
-    """With tokens (token, gid, n, place) for each shingle of each group's prefix, else (unit, gid, n, rid) of each row with words."""
+    """With tokens (token, gid, n, place) for each shingle of each group's prefix, else (unit, gid, n, rid, last) of each row with words.
+
+    last is the place of the prefix's last shingle in the global order.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +139,7 @@ def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, token
             value, at = shingle_sets(*column_bytes(batch.column("text")), size)
             n = np.diff(at)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((value, levels[(value >> U64(44)).astype(np.int64)], doc))
+            order = np.lexsort((value, levels[(value >> U64(64 - BITS)).astype(np.int64)], doc))
             value = value[order]
             place = np.arange(len(value)) - np.repeat(at[:-1], n)
             length = np.where(n > 0, prefix_length(n, percent), 0)
@@ -146,9 +150,11 @@ def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, token
             if not tokens:
                 full = np.flatnonzero(n > 0)
                 unit = set_keys(value, at)  # a sum: the order within a text doesn't matter
+                end = value[(at[:-1] + length - 1)[full]]
+                last = (levels[(end >> U64(64 - BITS)).astype(np.int64)].astype(np.int64) << 48) | (end >> U64(16)).astype(np.int64)
                 yield pa.record_batch(
-                    [pa.array(unit[full]), pa.array(gid[full]), pa.array(n[full].astype(np.int32)), batch.column("rid").take(pa.array(full))],
-                    names=["unit", "gid", "n", "rid"],
+                    [pa.array(unit[full]), pa.array(gid[full]), pa.array(n[full].astype(np.int32)), batch.column("rid").take(pa.array(full)), pa.array(last)],
+                    names=["unit", "gid", "n", "rid", "last"],
                 )
                 continue
             fresh = np.zeros(len(n), dtype=bool)
@@ -163,7 +169,7 @@ def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, token
                 names=["token", "gid", "n", "place"],
             )
 
-    return rows.mapInArrow(run, "token long, gid long, n int, place int" if tokens else "unit long, gid long, n int, rid long")
+    return rows.mapInArrow(run, "token long, gid long, n int, place int" if tokens else "unit long, gid long, n int, rid long, last long")
 
 
 def fits(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, percent: int) -> np.ndarray:
@@ -175,11 +181,13 @@ def fits(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, percent
 def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
     """Pairs of groups (a, b) from sorted posting lists, `shared` 1 in short lists, and 2 more where they fit; rows with a token are members of long lists.
 
+    Rows with an a alone count in how many lists with others a group is (in one partition).
+
     Lists stream through: of a list that goes on, its first member and the last
     one are kept, never the whole list.
     """
 
-    def give(token, gid, n, place, longer):
+    def give(matched, token, gid, n, place, longer):
         opens = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(opens, len(token)))
         if longer is not None and len(size):
@@ -189,7 +197,7 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
         long = size[run] > small
         a, b, whole = [], [], []
         for d in range(1, small):
-            i = np.flatnonzero((token[d:] == token[:-d]) & (~long[d:] | (d == 1)))
+            i = np.flatnonzero((token[d:] == token[:-d]) & ~long[d:])
             a.append(i)
             b.append(i + d)
             whole.append(~long[i + d])
@@ -205,6 +213,7 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
         # a pair of a short list counts what it shares even where it doesn't fit, but must fit somewhere
         fit = fits(n[a], place[a], n[b], place[b], percent)
         ok = np.where(whole, 100 * n[a] >= percent * n[b], fit) & (gid[a] != gid[b])
+        matched.append(gid[size[run] > 1])
         return gid[a[ok]], gid[b[ok]], whole[ok] + 2 * fit[ok], long
 
     def out(pair_a, pair_b, whole, token, gid, n, place):
@@ -226,8 +235,10 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the list that the last batch ended in
         streamed: int | None = None  # its members that have been given already
+        matched: list[np.ndarray] = []  # groups of lists that aren't theirs alone: no more than the partition's rows
+
         def close(cols, longer):
-            x, y, whole, long = give(*cols, longer)
+            x, y, whole, long = give(matched, *cols, longer)
             skip = 2 if longer is not None else 0  # first and last member of what was given before
             long = long.copy()
             long[:skip] = False
@@ -254,21 +265,25 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
                 held = [c[[0, -1]] for c in held]
         if held is not None and len(held[0]):
             yield close(held, streamed)
+        if matched:
+            who, times = np.unique(np.concatenate(matched), return_counts=True)
+            none = np.zeros(0, np.int64)
+            counted = out(who, who, times, none, none, none, none)
+            yield counted.set_column(1, "b", pa.nulls(len(who), pa.int64()))
 
     return lists.mapInArrow(run, "a long, b long, shared int, token long, gid long, n int, place int")
 
 
-def enough(shared: Column, na: Column, nb: Column, la: Column, lb: Column, percent: int) -> Column:
-    """Whether two sets can be similar after all that their prefixes have in common.
+def enough(shared: Column, x: str, y: str, percent: int) -> Column:
+    """Whether two groups (structs n, last) can be similar if their prefixes share no more than that.
 
-    shared: tokens that they share in short lists; la, lb: how many tokens of
-    each are in long lists, so that at most the less of the two are shared
-    there.  What is common beyond is in one of the two sets' rest behind its
-    prefix: in that of the set whose prefix ends first in the global order.
+    What is common beyond is in the rest of the set whose prefix ends first in
+    the global order.
     """
+    na, nb = F.col(f"{x}.n"), F.col(f"{y}.n")
     least = F.ceil(percent * (na + nb) / (100 + percent))
-    rest = F.greatest(F.ceil(percent * na / 100), F.ceil(percent * nb / 100)) - 1
-    return shared + F.least(la, lb) + rest >= least
+    rest = F.ceil(percent * F.when(F.col(f"{x}.last") <= F.col(f"{y}.last"), na).otherwise(nb) / 100) - 1
+    return shared + rest >= least
 
 
 def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, percent: int, star: int = 256) -> DataFrame:
@@ -329,26 +344,27 @@ def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, perce
     return stars.mapInArrow(compare, "a long, b long").distinct()
 
 
-def across(members: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs of units with one `key` whose components differ, each with its group, size and long-list count.
+def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame:
+    """Pairs (x, y) of units with one `key` whose components differ; the left one's group comes first in (n, gid).
 
-    members: key, unit, gid, n, listed, root, place.  The largest component of
-    each key is set aside: every pair between components has a member outside
-    of it.  The left unit's group comes first in (n, gid).
+    members: key, unit, gid, n, listed, matched, last, root, place.  The largest
+    component of each key is set aside: every pair between components has a
+    member outside of it.  alike: the units' prefixes are the same; else no
+    more can be shared than the less matched one has.
     """
     sizes = members.groupBy(key, "root").count()
     most = sizes.groupBy(key).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     open_members = members.join(most, key)
-    columns = ("unit", "gid", "n", "listed")
+    columns = ("unit", "gid", "n", "listed", "matched", "last")
     left = open_members.where("root <> main").select(key, F.struct(*columns).alias("x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"))
     right = open_members.select(key, F.struct(*columns).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
     na, ia, nb, ib = F.col("x.n"), F.col("place_x"), F.col("y.n"), F.col("place_y")
     similar = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb))
+    if not alike:
+        similar &= (F.col("x.gid") != F.col("y.gid")) & enough(F.least("x.matched", "y.matched"), "x", "y", percent)
     first = F.struct("x.n", "x.gid", "x.unit") <= F.struct("y.n", "y.gid", "y.unit")
     return (
-        left.join(right, key)
-        .where("root_x <> root_y")
-        .where(similar)
+        left.join(right, (left[key] == right[key]) & (F.col("root_x") != F.col("root_y")) & similar)
         .select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
         .distinct()
     )
@@ -374,15 +390,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     found = materialize(list_pairs(lists, percent, small), "group-pairs")
     tidy(spark)
     group_of = postings(rows, size, percent, levels, False)
-    units = materialize(group_of.groupBy("unit").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("rid").alias("rid")), "units")
+    units = materialize(group_of.groupBy("unit").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("rid").alias("rid"), F.min("last").alias("last")), "units")
     listed = found.where("token is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("listed"))
-    groups = units.groupBy("gid").agg(F.min("unit").alias("head"), F.min("n").alias("n")).join(listed, "gid", "left")
-    groups = materialize(groups.fillna(0, ["listed"]), "groups")
-    left = groups.select(F.col("gid").alias("a"), F.col("head").alias("x"), F.col("n").alias("na"), F.col("listed").alias("la"))
-    right = groups.select(F.col("gid").alias("b"), F.col("head").alias("y"), F.col("n").alias("nb"), F.col("listed").alias("lb"))
-    shared = found.where("a is not null").groupBy("a", "b").agg(F.sum(F.col("shared") % 2).alias("shared"), F.max("shared").alias("fit"))
-    possible = enough(*(F.col(c) for c in ("shared", "na", "nb", "la", "lb")), percent)
-    group_pairs = materialize(shared.join(left, "a").join(right, "b").where(possible & (F.col("fit") >= 2)).select("a", "b", "shared", "x", "y"), "possible-pairs")
+    matched = found.where("a is not null and b is null").groupBy(F.col("a").alias("gid")).agg(F.sum("shared").alias("matched"))
+    groups = units.groupBy("gid").agg(F.min("unit").alias("head"), F.min("n").alias("n"), F.min("last").alias("last"))
+    groups = materialize(groups.join(listed, "gid", "left").join(matched, "gid", "left").fillna(0, ["listed", "matched"]), "groups")
+    about = F.struct("gid", "head", "n", "last", "listed", "matched")
+    left, right = groups.select(F.col("gid").alias("a"), about.alias("x")), groups.select(F.col("gid").alias("b"), about.alias("y"))
+    shared = found.where("b is not null").groupBy("a", "b").agg(F.sum(F.col("shared") % 2).alias("shared"), F.max("shared").alias("fit"))
+    # tokens in long lists aren't counted for each pair: no more than the less listed one has
+    possible = enough(F.least(F.col("shared") + F.least("x.listed", "y.listed"), F.least("x.matched", "y.matched")), "x", "y", percent)
+    group_pairs = shared.where("fit >= 2").join(left, "a").join(right, "b").where(possible)
+    group_pairs = materialize(group_pairs.select("a", "b", "shared", F.col("x.head").alias("x"), F.col("y.head").alias("y")), "possible-pairs")
 
     # first: each group with the one group it shares most with, each member with its group's head
     best = group_pairs.groupBy("b").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "a")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b"))
@@ -394,21 +413,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     known = units.join(components(links).withColumnRenamed("node", "unit"), "unit", "left").select(
         "unit", "gid", "n", F.coalesce("root", "unit").alias("root")
     )
-    known = materialize(known.join(groups.select("gid", "listed"), "gid"), "known")
-    between = (
+    known = materialize(known.join(groups.select("gid", "listed", "matched", "last"), "gid"), "known")
+    # pairs of (group, component) first: groups that are one component don't expand
+    roots = known.select("gid", "root").distinct()
+    open_pairs = (
         group_pairs.select("a", "b")
-        .join(known.select(F.col("gid").alias("a"), F.col("unit").alias("x"), F.col("root").alias("rx")), "a")
-        .join(known.select(F.col("gid").alias("b"), F.col("unit").alias("y"), F.col("root").alias("ry")), "b")
-        .where("rx <> ry")
+        .join(roots.select(F.col("gid").alias("a"), F.col("root").alias("ra")), "a")
+        .join(roots.select(F.col("gid").alias("b"), F.col("root").alias("rb")), "b")
+        .where("ra <> rb")
+    )
+    between = (
+        open_pairs.join(known.select(F.col("gid").alias("a"), F.col("root").alias("ra"), F.col("unit").alias("x")), ["a", "ra"])
+        .join(known.select(F.col("gid").alias("b"), F.col("root").alias("rb"), F.col("unit").alias("y")), ["b", "rb"])
         .select("x", "y")
     )
-    in_group = across(known.withColumn("place", F.lit(0)), "gid", percent).select("x.unit", "y.unit").toDF("x", "y")
+    in_group = across(known.withColumn("place", F.lit(0)), "gid", percent, True).select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
     members = found.where("token is not null").select("token", "gid", "place").join(known, "gid")
-    in_list = across(members, "token", percent).select(
-        F.col("x.unit").alias("x"), F.col("y.unit").alias("y"), F.col("x.gid").alias("a"), F.col("y.gid").alias("b"),
-        F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.listed").alias("la"), F.col("y.listed").alias("lb"),
-    ).where("a <> b")
-    in_list = in_list.join(shared, ["a", "b"], "left").fillna(0, ["shared"]).where(possible).select("x", "y")
+    in_list = across(members, "token", percent, False).withColumns({"a": F.col("x.gid"), "b": F.col("y.gid")})
+    in_list = in_list.join(shared.drop("fit"), ["a", "b"], "left").fillna(0, ["shared"]).where(possible)
+    in_list = in_list.select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
     second = between.unionByName(in_group).unionByName(in_list).select(F.col("x").alias("a"), F.col("y").alias("b"))
     second = materialize(second.distinct(), "second-pairs")
     links = links.unionByName(verify(rows, units, second, size, percent))
