@@ -183,7 +183,7 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
-            score = sigmoid(machine(make_features(*column_bytes(batch.column("text")), settings), w, v, b))
+            score = sigmoid(machine(make_features(*column_bytes(batch.column("text")), settings), w, v, b)).astype(np.float64)
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
