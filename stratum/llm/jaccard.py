@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import keyed
@@ -197,7 +197,8 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
         long = size[run] > small
         a, b, whole = [], [], []
         for d in range(1, small):
-            i = np.flatnonzero((token[d:] == token[:-d]) & ~long[d:])
+            # long lists: neighbours too, for one token in eight, so that there are other partners than the first
+            i = np.flatnonzero((token[d:] == token[:-d]) & (~long[d:] | ((d == 1) & (token[d:] & 7 == 0))))
             a.append(i)
             b.append(i + d)
             whole.append(~long[i + d])
@@ -347,7 +348,8 @@ def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, perce
 def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame:
     """Pairs (x, y) of units with one `key` whose components differ; the left one's group comes first in (n, gid).
 
-    members: key, unit, gid, n, listed, matched, last, root, place.  The largest
+    members: key, unit, gid, n, listed, matched, last, root, place, before (the
+    group's last long-listed token ahead of this one).  The largest
     component of each key is set aside: every pair between components has a
     member outside of it.  alike: the units' prefixes are the same; else no
     more can be shared than the less matched one has.
@@ -356,11 +358,13 @@ def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame
     most = sizes.groupBy(key).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     open_members = members.join(most, key)
     columns = ("unit", "gid", "n", "listed", "matched", "last")
-    left = open_members.where("root <> main").select(key, F.struct(*columns).alias("x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"))
-    right = open_members.select(key, F.struct(*columns).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
+    left = open_members.where("root <> main").select(key, F.struct(*columns).alias("x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("before").alias("before_x"))
+    right = open_members.select(key, F.struct(*columns).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("before").alias("before_y"))
     na, ia, nb, ib = F.col("x.n"), F.col("place_x"), F.col("y.n"), F.col("place_y")
     similar = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb))
     if not alike:
+        # a pair is met where it first shares a token: nothing is lost where both come from the same token before
+        similar &= F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
         similar &= (F.col("x.gid") != F.col("y.gid")) & enough(F.least("x.matched", "y.matched"), "x", "y", percent)
     first = F.struct("x.n", "x.gid", "x.unit") <= F.struct("y.n", "y.gid", "y.unit")
     return (
@@ -403,8 +407,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     group_pairs = shared.where("fit >= 2").join(left, "a").join(right, "b").where(possible)
     group_pairs = materialize(group_pairs.select("a", "b", "shared", F.col("x.head").alias("x"), F.col("y.head").alias("y")), "possible-pairs")
 
-    # first: each group with the one group it shares most with, each member with its group's head
-    best = group_pairs.groupBy("b").agg(F.max_by(F.struct("x", "y"), F.struct("shared", "a")).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b"))
+    # first: each group with the two groups it shares most with, each member with its group's head
+    w = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a")
+    best = group_pairs.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     inside = units.join(groups.select("gid", "head"), "gid").where("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
     links = materialize(verify(rows, units, best.unionByName(inside), size, percent), "links")
     tidy(spark)
@@ -427,8 +432,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
         .join(known.select(F.col("gid").alias("b"), F.col("root").alias("rb"), F.col("unit").alias("y")), ["b", "rb"])
         .select("x", "y")
     )
-    in_group = across(known.withColumn("place", F.lit(0)), "gid", percent, True).select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
-    members = found.where("token is not null").select("token", "gid", "place").join(known, "gid")
+    in_group = across(known.withColumns({"place": F.lit(0), "before": F.lit(None).cast("long")}), "gid", percent, True).select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
+    before = F.lag("token").over(Window.partitionBy("gid").orderBy("place"))
+    members = found.where("token is not null").select("token", "gid", "place").distinct().withColumn("before", before).join(known, "gid")
     in_list = across(members, "token", percent, False).withColumns({"a": F.col("x.gid"), "b": F.col("y.gid")})
     in_list = in_list.join(shared.drop("fit"), ["a", "b"], "left").fillna(0, ["shared"]).where(possible)
     in_list = in_list.select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
