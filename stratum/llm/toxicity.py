@@ -104,14 +104,21 @@ def make_bags(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> Bags:
     return Bags(flat, word_at, passage_at, text_at, np.where(again, 0, 1 / s.passage).astype(np.float32))
 
 
-def join_bags(parts: list[Bags]) -> Bags:
-    """Bags of texts that follow each other."""
-
-    def shifted(name: str) -> np.ndarray:
-        ends = np.cumsum([0, *(getattr(p, name)[-1] for p in parts)])
-        return np.concatenate([[0], *(getattr(p, name)[1:] + e for p, e in zip(parts, ends, strict=False))]).astype(np.int64)
-
-    return Bags(np.concatenate([p.grams for p in parts]), shifted("word_at"), shifted("passage_at"), shifted("text_at"), np.concatenate([p.word_share for p in parts]))
+def join_bags(parts: Iterator[Bags], most: int) -> Bags:
+    """Bags of texts that follow each other, of at most `most` n-grams; one part is held at a time."""
+    grams = np.empty(most, dtype=np.int32)  # pages that aren't written take no memory
+    ends = {"word_at": 0, "passage_at": 0, "text_at": 0}
+    rest: dict[str, list[np.ndarray]] = {name: [np.zeros(1, dtype=np.int64)] for name in ends}
+    shares = []
+    used = 0
+    for part in parts:
+        grams[used : used + len(part.grams)] = part.grams
+        used += len(part.grams)
+        for name in ends:
+            rest[name].append(getattr(part, name)[1:] + ends[name])
+            ends[name] += int(getattr(part, name)[-1])
+        shares.append(part.word_share)
+    return Bags(grams[:used], *(np.concatenate(rest[name]) for name in ends), np.concatenate(shares))
 
 
 def passage_scores(bags: Bags, weight: np.ndarray, bias: float, words: int = 1 << 17) -> np.ndarray:
@@ -140,7 +147,9 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
         return np.zeros(1 << s.bits, dtype=np.float32), -40.0
     rng = np.random.default_rng(s.seed)
     parts = slices(iter([pa.record_batch([texts], names=["text"])]), limit=1 << 18)
-    bags = join_bags([make_bags(*column_bytes(part.column("text")), s) for part in parts])
+    # a text of b bytes has (b + 1) / 2 words at most, each with its two ends
+    most = 2 * len(s.sizes) * (texts.nbytes + 2 * len(texts))
+    bags = join_bags((make_bags(*column_bytes(part.column("text")), s) for part in parts), most)
     table = rng.normal(0, 0.002, (1 << s.bits, s.dim)).astype(np.float32)  # what isn't learnt stays near 0
     soft = rng.normal(0, 0.5, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
