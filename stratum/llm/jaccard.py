@@ -178,14 +178,15 @@ def fits(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, percent
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - ia, nb - ib) >= least)
 
 
-def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
+def list_pairs(lists: DataFrame, percent: int, small: int, block: int = 1 << 16) -> DataFrame:
     """Pairs of groups (a, b) from sorted posting lists, `shared` 1 in short lists, and 2 more where they fit; rows with a token are members of long lists.
 
     Rows with an a alone count in how many lists with others a group is (in one partition).
 
-    Lists stream through: of a list that goes on, its first member and the last
-    one are kept, never the whole list.
+    Lists stream through: of a list of more than `block` members that goes on,
+    its first member and the last one are kept, never the whole list.
     """
+    block = max(block, small)  # so that a list that was streamed is a long one
 
     def give(matched, token, gid, n, place, longer):
         opens = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
@@ -240,7 +241,7 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
 
         def close(cols, longer):
             x, y, whole, long = give(matched, *cols, longer)
-            skip = 2 if longer is not None else 0  # first and last member of what was given before
+            skip = 0 if longer is None else 2  # first and last member of what was given before
             long = long.copy()
             long[:skip] = False
             return out(x, y, whole, *(c[long] for c in cols))
@@ -260,8 +261,8 @@ def list_pairs(lists: DataFrame, percent: int, small: int) -> DataFrame:
                 yield close([c[:cut] for c in cols], streamed)
                 streamed = None
             held = [c[cut:] for c in cols]
-            if len(held[0]) > 1 << 16:
-                yield close(held, streamed if streamed is not None else small)
+            if len(held[0]) > block:
+                yield close(held, streamed)
                 streamed = (streamed or 0) + len(held[0])
                 held = [c[[0, -1]] for c in held]
         if held is not None and len(held[0]):
@@ -374,7 +375,7 @@ def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame
     )
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small: int = 8, block: int = 1 << 16) -> DataFrame:
     """doc_id, n_shingles, component_id for every document; links are 100 * |x & y| >= percent * |x | y|.
 
     Words are lower-cased (A-Z).  Texts of fewer than `size` words have their
@@ -391,7 +392,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     seen = materialize(survey(rows, size), "shingle-survey")
     levels = sketch_levels(seen)
     lists = postings(rows, size, percent, levels, True).repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "gid")
-    found = materialize(list_pairs(lists, percent, small), "group-pairs")
+    found = materialize(list_pairs(lists, percent, small, block), "group-pairs")
     tidy(spark)
     group_of = postings(rows, size, percent, levels, False)
     units = materialize(group_of.groupBy("unit").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("rid").alias("rid"), F.min("last").alias("last")), "units")

@@ -3,7 +3,7 @@ import random
 import brute
 from pyspark.sql import functions as F
 from stratum.llm.components import components
-from stratum.llm.jaccard import jaccard_components
+from stratum.llm.jaccard import jaccard_components, list_pairs
 
 SCHEMA = "doc_id long, text string, unit long, gid long, n string"
 
@@ -45,6 +45,26 @@ def test_is_the_definition(spark):
         assert result(jaccard_components(frame(spark, rows), small=4)) == brute.jaccard_components(rows)
 
 
+def test_streamed_lists_give_every_member(spark):
+    rows = [(t, g, 100, 0) for t, k in ((1, 3), (5, 40), (6, 9), (7, 8), (9, 100)) for g in range(k)]
+    rows += [(5, 7, 100, 0), (9, 0, 100, 0), (9, 99, 100, 0)]  # groups that two tasks gave
+    lists = spark.createDataFrame(rows, "token long, gid long, n int, place int").coalesce(1).sortWithinPartitions("token", "n", "gid")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size, block in ((5, 10), (16, 10), (1000, 10), (1000, 1 << 16)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = list_pairs(lists, 80, 4, block).where("token is not null").select("token", "gid").collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert sorted(map(tuple, got)) == sorted({(t, g) for t, g, _, _ in rows if t != 1})
+
+
+def test_streamed_lists_lose_no_links(spark):
+    for seed in (1, 2):
+        rows = corpus(seed)
+        assert result(jaccard_components(frame(spark, rows), small=2, block=2)) == brute.jaccard_components(rows)
+
+
 def test_generated_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
