@@ -386,6 +386,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     id are told apart by their sets.  An empty table gives no rows; other
     columns are not read.
     """
+    return row_components(docs, size, percent, small, block).drop("rid")
+
+
+def row_components(docs: DataFrame, size: int, percent: int, small: int = 8, block: int = 1 << 16) -> DataFrame:
+    """jaccard_components with the rid of each row, as keyed gives it."""
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs)
@@ -446,18 +451,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
 
     labelled = (
         seen.where("slice is null")
-        .select("doc_id", "n", "unit")
+        .select("rid", "doc_id", "n", "unit")
         .join(roots.withColumnRenamed("node", "unit"), "unit", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "unit").alias("root"))
+        .select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "unit").alias("root"))
     )
-    empty = labelled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = labelled.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = labelled.where("n_shingles > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return empty.unionByName(full.join(least, "root").select("doc_id", "n_shingles", "component_id"))
+    return empty.unionByName(full.join(least, "root").select("rid", "doc_id", "n_shingles", "component_id"))
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that have the least id of their component, or no id."""
-    found = jaccard_components(docs, size, percent)
-    dropped = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    found = row_components(docs, size, percent)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    own = docs["doc_id"].cast("long")
+    rid = F.xxhash64(own, F.coalesce(docs["text"], F.lit("")))
+    return docs.join(materialize(dropped, "near-copies"), (own == F.col("_id")) & (rid == F.col("_rid")), "left_anti")

@@ -3,7 +3,7 @@ import random
 import brute
 from pyspark.sql import functions as F
 from stratum.llm.components import components
-from stratum.llm.jaccard import jaccard_components, list_pairs
+from stratum.llm.jaccard import jaccard_components, keep_representatives, list_pairs
 
 SCHEMA = "doc_id long, text string, unit long, gid long, n string"
 
@@ -80,6 +80,13 @@ def test_odd_rows(spark):
     assert jaccard_components(frame(spark, rows).where(F.lit(False))).count() == 0
 
 
+def test_a_clean_text_under_a_repeated_id_stays(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "quite another text with words of its own"), (None, "a b c d e f g")]
+    kept = keep_representatives(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "unit", "gid", "n"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 60).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(100, 90)], "a long, b long"))
     got = {r["node"]: r["root"] for r in components(links).collect()}
