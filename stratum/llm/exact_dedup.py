@@ -90,10 +90,16 @@ def verify_bytes(docs: DataFrame, state: DataFrame, text_col: str = "text") -> N
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that exact_dedup keeps."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    """The rows of docs, with all their columns, that exact_dedup keeps; of rows that repeat both id and text any one."""
+    copies = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    fates = materialize(copies.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"), "fates")
     own = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_anti")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_sha"))
+    single = docs.join(fates.select("_id", "_sha"), same, "left_anti")
+    again = fates.where("kept").select("_id", "_sha")
+    if again.isEmpty():
+        return single
+    return single.unionByName(docs.join(again, same).dropDuplicates(["_id", "_sha"]).drop("_id", "_sha"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,6 +35,15 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(texts(spark, rows).where("false")).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (5, None), (5, "")]
+    docs = texts(spark, rows)
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(2, "a"), (2, "b"), (3, "c"), (None, "d"), (5, "")]
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_a_shared_digest_is_found(spark):
     docs = texts(spark, [(1, "a"), (2, "b")])
     fake = docs.select(F.unhex(F.sha2(F.lit("a"), 256)).alias("digest"), F.lit(2).cast("long").alias("group_size"))
