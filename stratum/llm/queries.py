@@ -33,8 +33,7 @@ def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    return nbest.digest(nbest.decode(nbest.encode(table(spark, sf_dir, "documents"), path), path))
+    return nbest.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
