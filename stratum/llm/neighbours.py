@@ -25,13 +25,14 @@ from .shared import materialize, ship
 class Settings:
     sample: int = 8192  # vectors that the graph and the network are fitted on, at most
     rows_a_part: int = 4096
+    least_parts: int = 8  # so that small tables are learned too; one part for each two vectors of the sample at most
     most_parts: int = 256
     degree: int = 10
     capacity: float = 1.1
     hidden: int = 96
     epochs: int = 30
     rate: float = 0.005
-    recall: float = 0.95  # on the sample; sets the number of parts that a query visits
+    recall: float = 0.95  # on an eighth of the sample that isn't learnt from; sets the number of parts that a query visits
     block: int = 4096  # rows and queries that meet in one task
     seed: int = 5
 
@@ -109,7 +110,7 @@ def fit(x: np.ndarray, parts: int, s: Settings) -> Router:
     x = x.astype(np.float64)
     dim = x.shape[1]
     mean, scale = x.mean(axis=0), float(x.std()) or 1.0
-    if parts == 1 or len(x) < 2 * parts:
+    if parts == 1:
         return Router(mean, scale, np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, s.degree)
     label = balanced_parts((x - mean) / scale, graph, parts, s.capacity, rng)
@@ -121,9 +122,11 @@ def fit(x: np.ndarray, parts: int, s: Settings) -> Router:
     z = (x - mean) / scale
     p = [rng.normal(0, (2 / dim) ** 0.5, (dim, s.hidden)), np.zeros(s.hidden), rng.normal(0, (1 / s.hidden) ** 0.5, (s.hidden, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
+    mixed = rng.permutation(len(x))
+    aside, learnt = mixed[: len(x) // 8], mixed[len(x) // 8 :]  # an eighth of the sample only measures
     for epoch in range(s.epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 128):
+        order = rng.permutation(learnt)
+        for at in range(0, len(order), 128):
             own = order[at : at + 128]
             h = np.maximum(z[own] @ p[0] + p[1], 0)
             logits = h @ p[2] + p[3]
@@ -140,8 +143,8 @@ def fit(x: np.ndarray, parts: int, s: Settings) -> Router:
     home = score.argmax(axis=1)
     rank = np.empty_like(score, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(-score, axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
-    visits = np.sort(np.take_along_axis(rank, home[graph], axis=1).ravel())  # how far down each neighbour's part is
-    router.probes = int(visits[min(len(visits) - 1, int(np.ceil(s.recall * len(visits))))]) + 1
+    visits = np.sort(np.take_along_axis(rank[aside], home[graph[aside]], axis=1).ravel())  # how far down each neighbour's part is
+    router.probes = int(visits[min(len(visits) - 1, int(np.ceil(s.recall * len(visits))))]) + 1 if len(visits) else parts
     return router
 
 
@@ -161,51 +164,57 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by `every`.
 
-    Null, zero, and non-finite vectors take no part, nor do rows without an id
-    or vectors whose length is not the most frequent one.  Rows that repeat id
-    and vector count once; ties go to the smaller id.  Of equal vectors only
-    the k + 1 smallest ids of each input task can be results, so only these
-    travel.  With fewer than k candidates all of them are returned; an empty
-    table gives no rows; other columns are not read.
+    Null, zero, and non-finite vectors take no part, nor do rows without an id.
+    Vectors of different lengths have no distance: each length is a table of its
+    own.  Rows that repeat id and vector count once.  Where an id has several
+    vectors its least one (component by component) is the query, and it is a
+    candidate with the nearest of them.  Ties go to the smaller id.  Of equal
+    vectors only the k + 1 smallest ids of each input batch can be results, so
+    only these travel.  With fewer than k candidates all of them are returned;
+    an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    s = settings
     rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = int(sizes["dim"]), int(sizes["count"])
-    rows = rows.where(F.size("v") == dim)
-    parts = max(1, min(s.most_parts, n // s.rows_a_part))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
+        out = out.unionByName(_search(rows.where(F.size("v") == size["dim"]), int(size["dim"]), int(size["count"]), every, k, settings))
+    return out
+
+
+def _search(rows: DataFrame, dim: int, n: int, every: int, k: int, s: Settings) -> DataFrame:
     sample = rows.groupBy("v").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("v"), "v").limit(s.sample).select("v").toArrow()
+    parts = max(1, min(s.most_parts, max(s.least_parts, n // s.rows_a_part), sample.num_rows // 2))
     router = fit(as_matrix(sample.column("v").combine_chunks(), dim), parts, s)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = as_matrix(batch.column("v"), dim)
             ids = batch.column("vec_id").to_numpy()
-            # equal vectors next to each other, the smallest ids first
+            # equal vectors next to each other, the smallest ids first; repeated rows once
             word = np.ascontiguousarray(x).view(np.uint64) * np.arange(1, 2 * dim, 2, dtype=np.uint64)
             key = np.bitwise_xor.reduce(word ^ (word >> np.uint64(29)), axis=1)
             order = np.lexsort((ids, key))
-            same = np.append(False, (x[order][1:] == x[order][:-1]).all(axis=1))
-            opens = np.flatnonzero(~same)
+            alike = np.append(False, (x[order][1:] == x[order][:-1]).all(axis=1))
+            again = alike & np.append(False, ids[order][1:] == ids[order][:-1])
+            order, alike = order[~again], alike[~again]
+            opens = np.flatnonzero(~alike)
             nth = np.arange(len(order)) - np.repeat(opens, np.diff(np.append(opens, len(order))))
-            keep = np.sort(order[(nth <= k) | (ids[order] % every == 0)])
-            drop = np.zeros(len(x), dtype=bool)
-            drop[order[nth > k]] = True
-            home = router.scores(x[keep]).argmax(axis=1).astype(np.int32)
+            keep = (nth <= k) | (ids[order] % every == 0)
+            order, nth = order[keep], nth[keep]
+            home = router.scores(x[order]).argmax(axis=1).astype(np.int32)
             yield pa.record_batch(
-                [batch.column("vec_id").take(pa.array(keep)), batch.column("v").take(pa.array(keep)), pa.array(home), pa.array(~drop[keep])],
+                [batch.column("vec_id").take(pa.array(order)), batch.column("v").take(pa.array(order)), pa.array(home), pa.array(nth <= k)],
                 names=["vec_id", "v", "part", "candidate"],
             )
 
     index = materialize(rows.mapInArrow(place, "vec_id long, v array<double>, part int, candidate boolean"), "vector-index")
-    counts = np.zeros(parts, dtype=np.int64)  # one number for each part
-    for row in index.where("candidate").groupBy("part").count().collect():
-        counts[row["part"]] = row["count"]
+    # one number for each part: of different ids, each in its first part, so that no id counts twice
+    first = index.where("candidate").groupBy("vec_id").agg(F.min("part").alias("part"))
+    counts = _by_part(first, parts)
+    rows_in = _by_part(index.where("candidate"), parts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,15 +227,12 @@ def search(
             part = order[row, np.arange(len(row)) - np.repeat(np.cumsum(visits) - visits, visits)]
             yield pa.record_batch([batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(part.astype(np.int32))], names=["query_id", "q", "part"])
 
-    # repeated rows of one query are one query
-    queries = index.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(route, "query_id long, q array<double>, part int")
-    queries = materialize(queries, "routed-queries")
-    asked = np.zeros(parts, dtype=np.int64)
-    for row in queries.groupBy("part").count().collect():
-        asked[row["part"]] = row["count"]
+    asked = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = materialize(asked.mapInArrow(route, "query_id long, q array<double>, part int"), "routed-queries")
+    asked_of = _by_part(queries, parts)
     # blocks of rows meet blocks of queries; the number of blocks follows the counts
-    row_blocks = F.array(*[F.lit(int(max(1, -(-c // s.block)))) for c in counts])
-    query_blocks = F.array(*[F.lit(int(max(1, -(-c // s.block)))) for c in asked])
+    row_blocks = F.array(*[F.lit(int(max(1, -(-c // s.block)))) for c in rows_in])
+    query_blocks = F.array(*[F.lit(int(max(1, -(-c // s.block)))) for c in asked_of])
     left = index.where("candidate").select(
         "part", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.get(row_blocks, "part")).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.get(query_blocks, "part") - 1)).alias("qb")
     )
@@ -238,20 +244,27 @@ def search(
         out: list[np.ndarray] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if rows_.num_rows and asks.num_rows:
             ids = rows_.column("vec_id").to_numpy()
+            x = as_matrix(rows_.column("v").combine_chunks(), dim)
             order = np.argsort(ids, kind="stable")
-            order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
-            ids = ids[order]
-            x = as_matrix(rows_.column("v").combine_chunks(), dim)[order]
+            ids, x = ids[order], x[order]
+            # a repeated row once; an id's several vectors stay, the nearest of them counts
+            new = np.append(True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1))
+            ids, x = ids[new], x[new]
+            several = bool((ids[1:] == ids[:-1]).any())
             for query, q in zip(asks.column("query_id").to_numpy(), as_matrix(asks.column("q").combine_chunks(), dim), strict=True):
                 d = x - q
                 d = np.sqrt(np.einsum("ij,ij->i", d, d))
                 d[ids == query] = np.inf
+                own = ids
+                if several:
+                    opens = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                    d, own = np.minimum.reduceat(d, opens), ids[opens]
                 m = min(k, len(d) - 1)
                 near = np.flatnonzero(d <= np.partition(d, m)[m])
-                near = near[np.argsort(d[near], kind="stable")][:k]
-                near = near[ids[near] != query]
+                near = near[np.argsort(d[near], kind="stable")][: k + 1]
+                near = near[own[near] != query][:k]
                 out[0].append(np.full(len(near), query))
-                out[1].append(ids[near])
+                out[1].append(own[near])
                 out[2].append(d[near])
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
@@ -259,3 +272,11 @@ def search(
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_part(rows: DataFrame, parts: int) -> np.ndarray:
+    """Rows in each part: one number for each reaches the driver."""
+    out = np.zeros(parts, dtype=np.int64)
+    for row in rows.groupBy("part").count().collect():
+        out[row["part"]] = row["count"]
+    return out

@@ -116,26 +116,57 @@ def brute_neighbours(ids, x, every, k):
     return out
 
 
-def test_neighbours_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(2000)
+@pytest.mark.parametrize("folder,least", [("sf0.01", 4), ("sf0.1", 16)])
+def test_neighbours_recall(spark, folder, least):
+    """The settings of the query on the whole table."""
+    vectors = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
     pdf = vectors.toPandas()
     ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype=np.float64)
     want = brute_neighbours(ids, x, 100, 10)
+    assert len(want) > least
     got = defaultdict(list)
-    s = neighbours.Settings(rows_a_part=250, block=300)
-    for r in neighbours.search(vectors, settings=s).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(vectors).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["vec_id"]))
     hit = sum(len({v for _, v in got[q]} & {v for _, v in w}) for q, w in want.items())
     assert all(len(got[q]) == 10 for q in want)
+    print(folder, "recall", hit / (10 * len(want)))
     assert hit >= 0.9 * 10 * len(want)
+
+
+def test_neighbours_in_one_part_are_exact(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pdf = vectors.toPandas()
+    want = brute_neighbours(pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype=np.float64), 100, 10)
     exact = defaultdict(list)
-    for r in neighbours.search(vectors, settings=neighbours.Settings(rows_a_part=10_000)).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(vectors, settings=neighbours.Settings(least_parts=1, block=300)).orderBy("query_id", "rank").collect():
         exact[r["query_id"]].append((r["score"], r["vec_id"]))
     for q, w in want.items():
         assert [v for _, v in exact[q]] == [v for _, v in w]
         assert [d for d, _ in exact[q]] == pytest.approx([d for d, _ in w])
 
 
+def test_neighbours_repeated_rows(spark):
+    """Twelve copies of one row stand for one candidate, and leave room for ten."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [0.0, 1.0])] * 3 + [(7, [0.1, 1.0])] * 12 + [(i, [0.1, 1.0]) for i in range(20, 26)] + [(i, rng.normal(size=2).tolist()) for i in range(30, 80)]
+    rows += [(90, [9.0, 9.0]), (90, [0.0, 1.05]), (200, [3.0, 1.0]), (200, [0.1, 1.01]), (91, [1.0, 2.0, 3.0]), (300, [1.0, 2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    first = {i: min(v for j, v in rows if j == i and len(v) == 2) for i in (0, 200)}
+    for s in (neighbours.Settings(least_parts=1), neighbours.Settings(recall=1.0, block=16)):
+        got = defaultdict(list)
+        for r in neighbours.search(df, settings=s).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert got.pop(300) == [(91, 1.0)]
+        assert {q: len(v) for q, v in got.items()} == {0: 10, 200: 10}
+        if s.least_parts == 1:
+            for q, found in got.items():
+                near = defaultdict(lambda: float("inf"))
+                for i, v in rows:
+                    if i != q and len(v) == 2:
+                        near[i] = min(near[i], float(np.linalg.norm(np.subtract(v, first[q]))))
+                assert [i for i, _ in found] == [i for _, i in sorted((d, i) for i, d in near.items())[:10]]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [1.0]), (None, [1.0, 1.0])]
     rows += [(i, [5.0, 5.0]) for i in range(10, 60)]
