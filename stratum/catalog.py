@@ -15,9 +15,14 @@ HEIGHT = 250
 OUT = ("identifier", "pk", "height", "value")
 
 
-def _spec(log: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Rows in (lo, hi] as a speculative list: one request for each block."""
-    return log.where((F.col("height") > lo) & (F.col("height") <= hi)).withColumns({"ord": F.col("height"), "pos": F.col("seq")})
+def top(log: DataFrame) -> int:
+    """The highest height."""
+    return log.agg(F.max("height")).first()[0] or 0
+
+
+def _spec(log: DataFrame, above: int) -> DataFrame:
+    """Rows above a height as a speculative list: one request for each block."""
+    return log.where(F.col("height") > above).withColumns({"ord": F.col("height"), "pos": F.col("seq")})
 
 
 def write_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -28,7 +33,7 @@ def tablet_at(s: SparkSession, d: str) -> DataFrame:
     return reads.state_at(event_log(s, d), HEIGHT).select(*OUT)
 
 
-def tablet_at_indexed(s: SparkSession, d: str) -> DataFrame:
+def tablet_at_snapshot(s: SparkSession, d: str) -> DataFrame:
     log = event_log(s, d)
     return state_from_snapshot(log, indexing.snapshot(log, 200), 200, HEIGHT).select(*OUT)
 
@@ -47,7 +52,8 @@ def singlet_entries(s: SparkSession, d: str) -> DataFrame:
 
 def singlet_entries_speculative(s: SparkSession, d: str) -> DataFrame:
     log = singlet_log(s, d)
-    return reads.history(log.where("height <= 400"), _spec(log, 400, 420)).select("identifier", "height", "value", "at", "is_deletion")
+    final = top(log) - 20
+    return reads.history(log.where(F.col("height") <= final), _spec(log, final)).select("identifier", "height", "value", "at", "is_deletion")
 
 
 def has_seen(s: SparkSession, d: str) -> DataFrame:
@@ -56,7 +62,8 @@ def has_seen(s: SparkSession, d: str) -> DataFrame:
 
 def overlay(s: SparkSession, d: str) -> DataFrame:
     log = event_log(s, d)
-    return reads.state_at(log, 400, _spec(log, 400, 420)).select(*OUT)
+    final = top(log) - 20
+    return reads.state_at(log, final, _spec(log, final)).select(*OUT)
 
 
 def asof_probe(s: SparkSession, d: str) -> DataFrame:
@@ -106,7 +113,7 @@ def list_indexes(s: SparkSession, d: str) -> DataFrame:
 
 def reindex(s: SparkSession, d: str) -> DataFrame:
     marks = event_log(s, d).select("collection", "identifier", (F.floor(F.col("height") / 10) * 10).alias("at_height")).distinct()
-    return indexing.reindex(event_log(s, d), marks).select("identifier", "at_height", "live_rows")
+    return indexing.live_counts(event_log(s, d), marks).select("identifier", "at_height", "live_rows")
 
 
 def mutation_counts(s: SparkSession, d: str) -> DataFrame:
@@ -133,11 +140,13 @@ def fork_segment(s: SparkSession, d: str) -> DataFrame:
 
 
 def spec_prefix_height(s: SparkSession, d: str) -> DataFrame:
-    return forks.prefix_by_height(_spec(event_log(s, d), 10, 45), 30).select("height", "pk", "ord")
+    log = event_log(s, d)
+    return forks.prefix_by_height(_spec(log, -1), top(log) // 2).select("height", "pk", "ord")
 
 
 def spec_prefix_id(s: SparkSession, d: str) -> DataFrame:
-    return forks.prefix_by_id(_spec(event_log(s, d), 10, 45).withColumn("block_id", F.col("height").cast("string")), "31").select("height", "pk", "ord")
+    log = event_log(s, d)
+    return forks.prefix_by_id(_spec(log, -1).withColumn("block_id", F.col("height").cast("string")), str(top(log) // 2)).select("height", "pk", "ord")
 
 
 def stats_block_mapper(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +178,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        write_upsert, tablet_at, tablet_at_indexed, tablet_row_at, singlet_at, singlet_entries, singlet_entries_speculative, has_seen, overlay,
+        write_upsert, tablet_at, tablet_at_snapshot, tablet_row_at, singlet_at, singlet_entries, singlet_entries_speculative, has_seen, overlay,
         asof_probe, index_snapshot, index_advance, index_stats, should_index, prune_indexes, tablet_index_at, ignore_range, list_indexes, reindex,
         mutation_counts, write_stats_top5, shard_stats, shard_progress, fork_segment, spec_prefix_height, spec_prefix_id, stats_block_mapper, keys_codec,
     )
@@ -188,19 +197,19 @@ ORACLE = {
     "write_upsert": f"""WITH {_LOG} SELECT identifier, pk, height, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY identifier, height, pk
         ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1""",
     "tablet_at": _STATE,
-    "tablet_at_indexed": _STATE,
+    "tablet_at_snapshot": _STATE,
     "tablet_row_at": _STATE + " AND pk = 11",
     "singlet_at": f"""WITH {_LOG} SELECT identifier, height, value FROM (SELECT pk AS identifier, height, value, row_number() OVER (PARTITION BY pk
         ORDER BY height DESC, seq DESC) AS rn FROM log WHERE height <= 250) WHERE rn = 1 AND value IS NOT NULL""",
     "singlet_entries": f"""WITH {_LOG}, {_ENTRY} SELECT identifier, height, value, row_number() OVER (PARTITION BY identifier ORDER BY height DESC) AS at,
         value IS NULL AS is_deletion FROM entry""",
     "singlet_entries_speculative": f"""WITH {_LOG}, {_ENTRY},
-        both_ AS (SELECT identifier, height, value, 1 AS src, -height AS o, 0 AS p FROM entry WHERE height <= 400
-            UNION ALL SELECT pk, height, value, 0, height, seq FROM log WHERE height > 400 AND height <= 420)
+        both_ AS (SELECT identifier, height, value, 1 AS src, -height AS o, 0 AS p FROM entry WHERE height <= (SELECT max(height) - 20 FROM log)
+            UNION ALL SELECT pk, height, value, 0, height, seq FROM log WHERE height > (SELECT max(height) - 20 FROM log))
         SELECT identifier, height, value, row_number() OVER (PARTITION BY identifier ORDER BY src, o, p) AS at, value IS NULL AS is_deletion FROM both_""",
     "has_seen": f"WITH {_LOG} SELECT DISTINCT identifier FROM log",
     "overlay": f"""WITH {_LOG} SELECT identifier, pk, height, value FROM (SELECT *, row_number() OVER (PARTITION BY identifier, pk
-        ORDER BY CASE WHEN height > 400 THEN 1 ELSE 0 END DESC, height DESC, seq DESC) AS rn FROM log WHERE height <= 420) WHERE rn = 1 AND value IS NOT NULL""",
+        ORDER BY CASE WHEN height > (SELECT max(height) - 20 FROM log) THEN 1 ELSE 0 END DESC, height DESC, seq DESC) AS rn FROM log) WHERE rn = 1 AND value IS NOT NULL""",
     "asof_probe": f"""WITH {_LOG}, {_ENTRY}, probe AS (SELECT o_orderkey AS probe_id, o_custkey AS identifier, o_orderkey % 500 AS probe_height FROM orders)
         SELECT probe_id, identifier, probe_height, height, value FROM (SELECT p.probe_id, p.identifier, p.probe_height, e.height, e.value
             FROM probe p ASOF JOIN entry e ON p.identifier = e.identifier AND p.probe_height >= e.height) WHERE value IS NOT NULL""",
@@ -238,8 +247,8 @@ ORACLE = {
     "fork_segment": """WITH RECURSIVE b AS (SELECT event_id AS id, event_id AS num, event_id - 1 AS parent_id FROM events WHERE event_id > 415),
         walk AS (SELECT id, num, parent_id FROM b WHERE id = 480 UNION ALL SELECT b.id, b.num, b.parent_id FROM walk w JOIN b ON b.id = w.parent_id)
         SELECT id, num, parent_id FROM walk""",
-    "spec_prefix_height": f"WITH {_LOG} SELECT height, pk, height AS ord FROM log WHERE height > 10 AND height <= 30",
-    "spec_prefix_id": f"WITH {_LOG} SELECT height, pk, height AS ord FROM log WHERE height > 10 AND height <= 31",
+    "spec_prefix_height": f"WITH {_LOG} SELECT height, pk, height AS ord FROM log WHERE height <= (SELECT max(height) // 2 FROM log)",
+    "spec_prefix_id": f"WITH {_LOG} SELECT height, pk, height AS ord FROM log WHERE height <= (SELECT max(height) // 2 FROM log)",
     "stats_block_mapper": """SELECT identifier, pk, count(*) AS mutations, sum(v) AS total, max(height) AS last_height FROM (
         SELECT event_type AS identifier, cast(floor(event_id / 20) AS bigint) AS height, k AS pk, cast(json_extract_string(props, '$.' || k) AS double) AS v
         FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)) GROUP BY 1, 2""",
@@ -248,3 +257,9 @@ ORACLE = {
         SELECT seq, t || lpad(lower(to_hex(h)), 16, '0') || lower(hex(encode(p))) AS row_key, t || lower(to_hex(cast(18446744073709551615 - h AS ubigint))) AS entry_key,
             h AS row_height, h AS entry_height, 'tst:' || lpad(lower(to_hex(h)), 16, '0') || ':' || p AS row_text FROM k""",
 }
+
+# the queries over stores, which use the ones above
+from . import catalog_stores  # noqa: E402
+
+QUERIES |= catalog_stores.QUERIES
+ORACLE |= catalog_stores.ORACLE

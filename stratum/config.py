@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from .model import live_checkpoint_key, shard_checkpoint_key
 
 @dataclass(frozen=True)
 class Config:
@@ -21,6 +23,13 @@ class Config:
     disable_indexing: bool = False
     skip_checkpoint: bool = False
     ignore_index_range: tuple[int, int] = (0, 0)
+    on_server: Callable | None = None  # called with the reader before it serves
+    on_inject: Callable | None = None  # called with the store before the first write; not if the server mode runs too
+
+    @property
+    def checkpoint_key(self) -> str:
+        """Sharded writing has a checkpoint for each shard."""
+        return shard_checkpoint_key(self.shard_index) if self.inject_shards else live_checkpoint_key()
 
     def validate(self) -> None:
         modes = [self.server or self.inject, self.shard, self.inject_shards]

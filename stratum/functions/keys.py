@@ -61,6 +61,84 @@ def decode_height(key: Column, at: int, inverted: bool = False) -> Column:
     return F.when(F.length(raw) == 8, F.bitwise_not(value) if inverted else value)
 
 
+def tablet_text(name: Column, identifier: Column) -> Column:
+    """entity name and identifier."""
+    return F.concat_ws(":", name, identifier)
+
+
+def entry_text(name: Column, height: Column) -> Column:
+    """entity:complement of the height in 16 hex digits, as a singlet entry's key sorts."""
+    return F.concat_ws(":", name, F.lower(F.hex(F.bitwise_not(height.cast("long")))))
+
+
+def _collection(key: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 2)), 16, 10).cast("int")
+
+
+def _by_spec(registry: Registry, kind: str, key: Column, of) -> Column:
+    """of(spec) for the registered collection of a key; null for others."""
+    out = None
+    for spec in registry.specs.values():
+        if spec.kind == kind:
+            case = _collection(key) == spec.id
+            out = F.when(case, of(spec)) if out is None else out.when(case, of(spec))
+    return out if out is not None else F.lit(None)
+
+
+def decode_tablet(registry: Registry, key: Column) -> Column:
+    """struct(collection, identifier) of a tablet key; null if it isn't one."""
+
+    def of(spec):
+        width = F.lit(spec.identifier_bytes) if spec.identifier_bytes is not None else F.length(key) - 2
+        value = F.struct(F.lit(spec.id).alias("collection"), F.substring(key, F.lit(3), width).alias("identifier"))
+        return F.when(F.length(key) >= F.greatest(F.lit(3), 2 + width), value)
+
+    return _by_spec(registry, "tablet", key, of)
+
+
+def decode_singlet(registry: Registry, key: Column) -> Column:
+    """struct(collection, identifier) of a singlet key; null if it isn't one."""
+
+    def of(spec):
+        width = F.lit(spec.identifier_bytes) if spec.identifier_bytes is not None else F.length(key) - 2
+        value = F.struct(F.lit(spec.id).alias("collection"), F.substring(key, F.lit(3), width).alias("identifier"))
+        return F.when(F.length(key) >= 2 + width, value)
+
+    return _by_spec(registry, "singlet", key, of)
+
+
+def decode_row(registry: Registry, key: Column) -> Column:
+    """struct(collection, identifier, height, pk) of a row key; null if it isn't one or its collection has no fixed identifier length."""
+
+    def of(spec):
+        if spec.identifier_bytes is None:
+            return F.lit(None)
+        n = spec.identifier_bytes
+        fits = F.length(key) >= 2 + n + 8 if spec.pk_bytes is None else F.length(key) == 2 + n + 8 + spec.pk_bytes
+        value = F.struct(
+            F.lit(spec.id).alias("collection"),
+            F.substring(key, 3, n).alias("identifier"),
+            decode_height(key, 2 + n).alias("height"),
+            F.substring(key, F.lit(2 + n + 8 + 1), F.length(key)).alias("pk"),
+        )
+        return F.when(fits, value)
+
+    return _by_spec(registry, "tablet", key, of)
+
+
+def decode_entry(registry: Registry, key: Column) -> Column:
+    """struct(collection, identifier, height) of a singlet entry's key; null if it isn't one."""
+
+    def of(spec):
+        width = F.lit(spec.identifier_bytes) if spec.identifier_bytes is not None else F.length(key) - 10
+        raw = F.substring(key, 3 + width, F.lit(8))
+        height = F.bitwise_not(F.conv(F.hex(raw), 16, -10).cast("long"))
+        value = F.struct(F.lit(spec.id).alias("collection"), F.substring(key, F.lit(3), width).alias("identifier"), height.alias("height"))
+        return F.when((F.length(key) == 2 + width + 8) & (width >= 0), value)
+
+    return _by_spec(registry, "singlet", key, of)
+
+
 def file_span(name: Column) -> Column:
     """(first, last) of a shard file called first-last; null if it isn't called so, or past 32 bits."""
     good = name.rlike(r"^\d+-\d+$")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reads import ENTITY, latest, upsert
+from ..model import NotFound
+from .reads import ENTITY, dead, latest, live, upsert
 
 #: Mutations since the last snapshot from which one is due, and the sizes at which that changes (fixed values).
 INDEX_AFTER = 25_000
@@ -15,7 +16,8 @@ HUGE_HALF = 100_000
 
 def snapshot(log: DataFrame, at_height: int) -> DataFrame:
     """Live keys as of a height with the height of their last change: (collection, identifier, pk, at_height, height)."""
-    rows = latest(log.where(F.col("height") <= at_height), (*ENTITY, "pk"), F.desc("height"), F.desc("seq")).where("value is not null")
+    rows = latest(log.where(F.col("height") <= at_height), (*ENTITY, "pk"), F.desc("height"), F.desc("seq"))
+    rows = live(rows)
     return rows.select(*ENTITY, "pk", F.lit(at_height).cast("long").alias("at_height"), "height")
 
 
@@ -34,7 +36,7 @@ def advance(previous: DataFrame, log: DataFrame, since: int, at_height: int) ->
     """The snapshot at a height from an earlier one and the mutations in between; nothing older is read."""
     base = previous.select(*ENTITY, "pk", "height", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("live"))
     delta = log.where((F.col("height") > since) & (F.col("height") <= at_height)).select(
-        *ENTITY, "pk", "height", "seq", F.col("value").isNotNull().alias("live")
+        *ENTITY, "pk", "height", "seq", (~dead(log)).alias("live")
     )
     rows = latest(base.unionByName(delta), (*ENTITY, "pk"), F.desc("height"), F.desc("seq")).where("live")
     return rows.select(*ENTITY, "pk", F.lit(at_height).cast("long").alias("at_height"), "height")
@@ -70,19 +72,48 @@ def index_at(indexes: DataFrame, height: int, ignore: tuple[int, int] = (0, 0))
 
 
 def reindex(log: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Live rows of every snapshot, recomputed from the log: (entity, at_height, live_rows).
+    """Every snapshot recomputed from the log: (entity, pk, at_height, height).
 
-    A key is live in [height of a change, height of the next), so each change
-    adds or takes one from there on: one running sum instead of a read for each
-    snapshot.
+    A key is live from a change to the next, so a change belongs to the
+    snapshots in between: their heights come to it as one sorted array for each
+    entity (a snapshot is due after 25,000 mutations, so arrays are short), and
+    only rows of the result are made.
     """
     w = Window.partitionBy(*ENTITY, "pk").orderBy("height")
-    changes = upsert(log).select(*ENTITY, "pk", "height", F.col("value").isNotNull().cast("long").alias("live"))
-    steps = changes.withColumn("step", F.col("live") - F.coalesce(F.lag("live").over(w), F.lit(0))).groupBy(*ENTITY, "height").agg(F.sum("step").alias("step"))
-    marks = indexes.select(*ENTITY, F.col("at_height").alias("height")).distinct()
-    rows = steps.withColumn("kind", F.lit(0)).unionByName(marks.withColumns({"step": F.lit(0).cast("long"), "kind": F.lit(1)}))
-    run = Window.partitionBy(*ENTITY).orderBy("height", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("live_rows", F.sum("step").over(run)).where("kind = 1").select(*ENTITY, F.col("height").alias("at_height"), "live_rows")
+    spans = live(upsert(log).withColumn("_next", F.lead("height").over(w)))
+    marks = indexes.groupBy(*ENTITY).agg(F.sort_array(F.collect_set("at_height")).alias("_marks"))
+    inside = lambda m: (m >= F.col("height")) & (F.col("_next").isNull() | (m < F.col("_next")))
+    rows = spans.join(marks, list(ENTITY)).withColumn("at_height", F.explode(F.filter("_marks", inside)))
+    return rows.select(*ENTITY, "pk", "at_height", "height")
+
+
+def squelched(log: DataFrame, indexes: DataFrame) -> DataFrame:
+    """For every snapshot the stored mutations since the one before: (entity, at_height, squelched)."""
+    marks = indexes.groupBy(*ENTITY).agg(F.sort_array(F.collect_set("at_height")).alias("_marks"))
+    upto = F.filter("_marks", lambda m: m >= F.col("height"))
+    counted = upsert(log).groupBy(*ENTITY, "height").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.join(marks, list(ENTITY)).withColumn("at_height", F.get(upto, F.lit(0))).where("at_height is not null")
+    sums = sums.groupBy(*ENTITY, "at_height").agg(F.sum("n").alias("squelched"))
+    return indexes.select(*ENTITY, "at_height").distinct().join(sums, [*ENTITY, "at_height"], "left").fillna(0, ["squelched"])
+
+
+def live_counts(log: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Live rows of every snapshot, without the rows: (entity, at_height, live_rows).
+
+    Each change adds or takes one from its height on.  Steps are summed between
+    two marks before anything is ordered, so the running sum goes over
+    snapshots, not over changes.
+    """
+    w = Window.partitionBy(*ENTITY, "pk").orderBy("height")
+    changes = upsert(log).select(*ENTITY, "pk", "height", (~dead(log)).cast("long").alias("live"))
+    steps = changes.withColumn("step", F.col("live") - F.coalesce(F.lag("live").over(w), F.lit(0)))
+    marks = indexes.groupBy(*ENTITY).agg(F.sort_array(F.collect_set("at_height")).alias("_marks"))
+    between = steps.groupBy(*ENTITY, "height").agg(F.sum("step").alias("step")).join(marks, list(ENTITY))
+    between = between.withColumn("at_height", F.get(F.filter("_marks", lambda m: m >= F.col("height")), F.lit(0))).where("at_height is not null")
+    sums = between.groupBy(*ENTITY, "at_height").agg(F.sum("step").alias("step"))
+    every = indexes.select(*ENTITY, "at_height").distinct().join(sums, [*ENTITY, "at_height"], "left").fillna(0, ["step"])
+    run = Window.partitionBy(*ENTITY).orderBy("at_height").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return every.select(*ENTITY, "at_height", F.sum("step").over(run).alias("live_rows"))
 
 
 def list_indexes(indexes: DataFrame, height: int = 0, lower: Column | None = None, key: str = "identifier") -> DataFrame:
@@ -96,5 +127,38 @@ def list_indexes(indexes: DataFrame, height: int = 0, lower: Column | None = Non
 
 
 def hydrate(index_rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Values of a snapshot's keys: an equi-join on the full key, which the engine broadcasts only if it finds it small."""
-    return index_rows.join(upsert(log), [*ENTITY, "pk", "height"])
+    """Values of a snapshot's keys: an equi-join on the full key, which the engine broadcasts only if it finds it small.
+
+    Keys that the log lacks are left out; a stored value that is empty is an error.
+    """
+    rows = index_rows.join(upsert(log), [*ENTITY, "pk", "height"])
+    broken = F.concat(F.lit("a snapshot names a deleted row of "), F.col("identifier").cast("string"), F.lit(" at height "), F.col("height").cast("string"))
+    return rows.where(F.when(dead(rows), F.raise_error(broken).cast("boolean")).otherwise(True))
+
+
+def missing_entities(index_rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Entities of whose snapshot the log has no row at all."""
+    found = index_rows.select(*ENTITY, "pk", "height").join(log.select(*ENTITY, "pk", "height").distinct(), [*ENTITY, "pk", "height"], "left_semi")
+    return index_rows.select(*ENTITY).distinct().join(found.select(*ENTITY).distinct(), list(ENTITY), "left_anti")
+
+
+def check_rows(index_rows: DataFrame, log: DataFrame) -> None:
+    """Raises if nothing of an entity's snapshot is stored: the read behind it can't be right."""
+    lost = missing_entities(index_rows, log).select(*ENTITY).limit(5).collect()
+    if lost:
+        raise NotFound(f"no row of these entities' snapshots is stored: {[tuple(r) for r in lost]}")
+
+
+def as_maps(index_rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """The short form: (entity, at_height, squelched, rows as a map from primary key to height); one without rows has an empty map.
+
+    One snapshot is one value here, for interchange; jobs use the long form.
+    """
+    maps = index_rows.groupBy(*ENTITY, "at_height").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("pk", "height")))).alias("rows"))
+    none = F.map_from_arrays(F.array().cast(f"array<{index_rows.schema['pk'].dataType.simpleString()}>"), F.array().cast("array<bigint>"))
+    return meta.select(*ENTITY, "at_height", "squelched").join(maps, [*ENTITY, "at_height"], "left").withColumn("rows", F.coalesce("rows", none))
+
+
+def from_maps(maps: DataFrame) -> DataFrame:
+    """The long form of as_maps: (entity, pk, at_height, height)."""
+    return maps.select(*ENTITY, "at_height", F.explode("rows").alias("pk", "height")).select(*ENTITY, "pk", "at_height", "height")

@@ -11,18 +11,32 @@ from .stats import shard_of
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, start: int, stop: int) -> None:
-    """One folder for each shard with its rows in [start, stop], and the manifest of the segment.
+    """One folder for each shard with its rows in [start, stop], and the manifests of the segment.
 
-    Every shard has every block in its manifest, with rows or without; the
-    manifest is written last, also when the input ends exactly at stop.
+    The block manifest has a row for every shard and block, with the number of
+    that shard's rows in it, none included; the segment's own, which is written
+    last, also when the input ends exactly at stop, names its bounds.
     """
     part = rows.where(F.col("height").between(start, stop)).withColumn("shard", shard_of(shards))
-    name = f"{start:010d}-{stop:010d}"
+    name = segment(start, stop)
     part.repartition(shards, "shard").sortWithinPartitions("height", "seq").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/rows/{name}")
+    block_manifest(part, shards).write.mode("overwrite").parquet(f"{path}/blocks/{name}")
     spark = rows.sparkSession
     spark.createDataFrame([(start, stop, shards)], "first long, last long, shards int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{name}")
 
 
+def segment(first: int, last: int) -> str:
+    """The name of a segment's folder."""
+    return f"{first:010d}-{last:010d}"
+
+
+def block_manifest(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, height, rows) for every shard and every height that any shard has; rows have a `shard`."""
+    counts = rows.groupBy("shard", "height").agg(F.count(F.lit(1)).alias("rows"))
+    every = rows.select("height").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return every.join(counts, ["shard", "height"], "left").fillna(0, ["rows"]).select("shard", "height", "rows")
+
+
 def segments(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     """(first, last) of the segments that have a manifest, in order."""
     rows = spark.read.schema("first long, last long, shards int").json(f"{path}/manifest/*")
@@ -31,7 +45,7 @@ def segments(spark: SparkSession, path: str) -> list[tuple[int, int]]:
 
 def read_shard(spark: SparkSession, path: str, shard: int, start_after: int, first: int, last: int) -> DataFrame:
     """A segment's rows of one shard above what is done already."""
-    rows = spark.read.parquet(f"{path}/rows/{first:010d}-{last:010d}")
+    rows = spark.read.parquet(f"{path}/rows/{segment(first, last)}")
     return rows.where((F.col("shard") == shard) & (F.col("height") > start_after)).drop("shard")
 
 

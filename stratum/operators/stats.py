@@ -19,6 +19,11 @@ def write_stats(writes: DataFrame, size: Column) -> DataFrame:
     return writes.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
 
 
+def totals(writes: DataFrame, size: Column) -> DataFrame:
+    """One row over all writes: rows, entities, bytes."""
+    return writes.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*ENTITY).alias("entities"), F.sum(size).alias("bytes"))
+
+
 def top_entities(stats: DataFrame, n: int = 5) -> DataFrame:
     """The entities with the most bytes; ties by entity."""
     return stats.orderBy(F.desc("bytes"), *ENTITY).limit(n)

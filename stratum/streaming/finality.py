@@ -17,41 +17,58 @@ OUT = "chain string, id string, num long, parent_id string, payload string"
 
 
 class Finality(StatefulProcessor):
-    """Emits, in chain order, the blocks between the old and the new last irreversible block of the longest chain."""
+    """Emits, in chain order, the blocks between the old and the new last irreversible block of the longest chain.
+
+    The highest block seen is the head (of equally high ones the first), and it
+    stays that between batches; finality is what the head's block says.  It moves
+    only when the walk from the head reaches the block that was final last, or,
+    at first, the first streamable height: as long as an ancestor is late,
+    everything waits.
+    """
+
+    def __init__(self, first_streamable: int = 1):
+        self.first_streamable = first_streamable
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "id string", "num long, parent_id string, payload string")
-        self.final = handle.getValueState("final", "num long")
+        self.waiting = handle.getMapState("waiting", "id string", "num long, parent_id string, lib_num long, payload string")
+        self.final = handle.getValueState("final", "num long, id string")
+        self.head = handle.getValueState("head", "num long, id string, lib_num long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        final = self.final.get()[0] if self.final.exists() else -1
-        head, lib = None, final
+        final, final_id = self.final.get() if self.final.exists() else (-1, None)
+        head = tuple(self.head.get()) if self.head.exists() else None
         for batch in rows:
             for r in batch.sort_values("num", kind="stable").itertuples(index=False):
                 if r.num > final:
-                    self.waiting.updateValue((r.id,), (r.num, r.parent_id, r.payload))
-                    if head is None or r.num >= head[0]:
-                        head = (r.num, r.id)
-                        lib = max(lib, r.lib_num)
-        if head is None or lib <= final:
+                    self.waiting.updateValue((r.id,), (int(r.num), r.parent_id, int(r.lib_num), r.payload))
+                    if head is None or r.num > head[0]:
+                        head = (int(r.num), r.id, int(r.lib_num))
+        if head is None:
             return
-        out, at = [], head[1]
+        self.head.update(head)
+        lib = head[2]
+        if lib <= final:
+            return
+        out, at, lowest = [], head[1], None
         while self.waiting.containsKey((at,)):
-            num, parent, payload = self.waiting.getValue((at,))
+            num, parent, _, payload = self.waiting.getValue((at,))
             if final < num <= lib:
                 out.append((key[0], at, num, parent, payload))
-            at = parent
-        for (block_id,), (num, _, _) in list(self.waiting.iterator()):
+            lowest, at = num, parent
+        if not out or not (at == final_id or (final_id is None and lowest <= self.first_streamable)):
+            return
+        for (block_id,), (num, *_) in list(self.waiting.iterator()):
             if num <= lib:
                 self.waiting.removeKey((block_id,))
-        self.final.update((lib,))
-        if out:
-            yield pd.DataFrame(out[::-1], columns=["chain", "id", "num", "parent_id", "payload"])
+        self.final.update((out[0][2], out[0][1]))
+        yield pd.DataFrame(out[::-1], columns=["chain", "id", "num", "parent_id", "payload"])
 
     def close(self) -> None:
         pass
 
 
-def final_blocks(blocks: DataFrame) -> DataFrame:
-    """Final blocks of a stream of (chain, id, num, parent_id, lib_num, payload); needs the RocksDB state store."""
-    return blocks.groupBy("chain").transformWithStateInPandas(Finality(), OUT, "Append", "None")
+def final_blocks(blocks: DataFrame, first_streamable: int = 1) -> DataFrame:
+    """Final blocks of a stream (or a table) of (chain, id, num, parent_id, lib_num, payload); needs the RocksDB state store."""
+    if not blocks.isStreaming:
+        _ = blocks.sparkSession.streams.active  # the state stores' coordinator starts with the stream manager
+    return blocks.groupBy("chain").transformWithStateInPandas(Finality(first_streamable), OUT, "Append", "None")

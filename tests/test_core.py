@@ -256,7 +256,7 @@ def test_config(bad):
 def test_oracle(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("events", "orders", "documents"):
+    for t in ("events", "orders", "documents", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, folder)
     cols = sorted(df.columns)
