@@ -28,15 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sketch
 from .chunks import keyed
 from .components import components
-from .shared import materialize, partitions, ship, tidy
+from .shared import discard, materialize, partitions, scope, ship, tidy
 from .textblock import U64, Words, column_bytes, gram_hashes, mix64, slices
 
-BITS = 22
-CELLS = 1 << BITS  # of the count sketch: 4 MB for its levels, whatever the input
-SLICE = 1 << 16
-
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the sorted distinct shingles of each text; texts of fewer words have their whole sequence as one."""
@@ -81,46 +78,21 @@ def survey(rows: DataFrame, size: int) -> DataFrame:
     """One pass over the texts: for each row its set's size and key; for each task its part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
-        for batch in slices(batches, limit=1 << 20):
+        counts = sketch.cells()
+        for batch in slices(batches, limit=1 << 19):
             value, at = shingle_sets(*column_bytes(batch.column("text")), size)
-            counts += np.bincount((value >> U64(64 - BITS)).astype(np.int64), minlength=CELLS)
+            sketch.add(counts, value)
             n = batch.num_rows
             yield pa.record_batch(
                 [batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(at)), pa.array(set_keys(value, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=["rid", "doc_id", "n", "unit", "slice", "counts"],
             )
-        used = [i for i in range(CELLS // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
-        yield pa.record_batch(
-            [
-                *(pa.nulls(len(used), pa.int64()) for _ in range(4)),
-                pa.array(used, pa.int32()),
-                pa.array([counts[i * SLICE : (i + 1) * SLICE].astype(np.int32).tobytes() for i in used], pa.binary()),
-            ],
-            names=["rid", "doc_id", "n", "unit", "slice", "counts"],
-        )
+        used, parts = sketch.pieces(counts)
+        yield pa.record_batch([*(pa.nulls(len(used), pa.int64()) for _ in range(4)), used, parts], names=["rid", "doc_id", "n", "unit", "slice", "counts"])
 
     return rows.mapInArrow(run, "rid long, doc_id long, n long, unit long, slice int, counts binary")
 
 
-def sketch_levels(seen: DataFrame) -> np.ndarray:
-    """For each cell of the sketch how far above the mean it is, in eighths of powers of two; CELLS bytes reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, part in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_buffer(), dtype=np.int32).astype(np.int64)
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    parts = seen.where("slice is not null").select("slice", "counts")
-    counts = np.zeros(CELLS, dtype=np.int64)
-    for row in parts.repartition(CELLS // SLICE, "slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
-        counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] += np.frombuffer(row["counts"], dtype=np.int64)
-    mean = max(1.0, counts.sum() / CELLS)
-    return np.minimum(np.floor(8 * np.log2(np.maximum(counts / mean, 1))), 255).astype(np.uint8)
-
-
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
@@ -135,11 +107,11 @@ def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         done: set[int] = set()  # groups whose postings this task has given
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 19):
             value, at = shingle_sets(*column_bytes(batch.column("text")), size)
             n = np.diff(at)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((value, levels[(value >> U64(64 - BITS)).astype(np.int64)], doc))
+            order = np.lexsort((value, sketch.level(levels, value), doc))
             value = value[order]
             place = np.arange(len(value)) - np.repeat(at[:-1], n)
             length = np.where(n > 0, prefix_length(n, percent), 0)
@@ -151,7 +123,7 @@ def postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray, token
                 full = np.flatnonzero(n > 0)
                 unit = set_keys(value, at)  # a sum: the order within a text doesn't matter
                 end = value[(at[:-1] + length - 1)[full]]
-                last = (levels[(end >> U64(64 - BITS)).astype(np.int64)].astype(np.int64) << 48) | (end >> U64(16)).astype(np.int64)
+                last = (sketch.level(levels, end).astype(np.int64) << 48) | (end >> U64(16)).astype(np.int64)
                 yield pa.record_batch(
                     [pa.array(unit[full]), pa.array(gid[full]), pa.array(n[full].astype(np.int32)), batch.column("rid").take(pa.array(full)), pa.array(last)],
                     names=["unit", "gid", "n", "rid", "last"],
@@ -292,19 +264,36 @@ def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, perce
     """The pairs of units (a, b) whose whole sets are similar.
 
     Sets of one a's partners meet a's set in stars of about `star` sets; a star
-    is read as a stream, with a's set in memory and no other.
+    is read as a stream, with a's set in memory and no other.  A unit that is
+    the partner of very many others has its goals in several rows, each with
+    about `star` of them.
     """
     spark = rows.sparkSession
     pairs = pairs.select("a", "b").distinct()
     arms = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("arms"))
     spread = pairs.join(arms, "a").select("b", "a", F.pmod(F.xxhash64("b"), F.col("arms")).cast("int").alias("arm"))
-    goals = spread.select(F.col("b").alias("unit"), F.col("a").alias("centre"), "arm", F.lit(1).alias("role")).unionByName(
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("often")).where("often > 1")
+    goals = spread.join(often, "b", "left").select(
+        F.col("b").alias("unit"), F.col("a").alias("centre"), "arm", F.lit(1).alias("role"), F.coalesce(F.pmod(F.xxhash64("a"), F.col("often")).cast("int"), F.lit(0)).alias("part")
+    ).unionByName(
         arms.select(F.col("a").alias("unit"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("arms") - 1)).alias("arm"), F.lit(0).alias("role"))
+        .withColumn("part", F.floor(F.col("arm") / star).cast("int"))
     )
-    goals = goals.join(units.select("unit", "rid"), "unit").groupBy("rid", "unit").agg(F.collect_list(F.struct("centre", "arm", "role")).alias("goals"))
+    goals = goals.join(units.select("unit", "rid"), "unit").groupBy("rid", "unit", "part").agg(F.collect_list(F.struct("centre", "arm", "role")).alias("goals"))
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = None, set()
         for batch in slices(batches, limit=1 << 19):
+            # rows that repeat id and text stand next to each other after the join: one of them is enough
+            fresh = []
+            for rid, part in zip(batch.column("rid").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                if rid != last:
+                    last, given = rid, set()
+                fresh.append(part not in given)
+                given.add(part)
+            batch = batch.filter(pa.array(fresh))
+            if not batch.num_rows:
+                continue
             value, at = shingle_sets(*column_bytes(batch.column("text")), size)
             goals = batch.column("goals")
             row = np.repeat(np.arange(batch.num_rows), np.asarray(goals.value_lengths()))
@@ -346,36 +335,102 @@ def verify(rows: DataFrame, units: DataFrame, pairs: DataFrame, size: int, perce
     return stars.mapInArrow(compare, "a long, b long").distinct()
 
 
-def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame:
-    """Pairs (x, y) of units with one `key` whose components differ; the left one's group comes first in (n, gid).
+ABOUT = ("unit", "gid", "n", "listed", "matched", "last")
 
-    members: key, unit, gid, n, listed, matched, last, root, place, before (the
-    group's last long-listed token ahead of this one).  The largest
-    component of each key is set aside: every pair between components has a
-    member outside of it.  alike: the units' prefixes are the same; else no
-    more can be shared than the less matched one has.
-    """
+
+def open_keys(members: DataFrame, key: str) -> DataFrame:
+    """(key, main, pairs) of the keys whose units are in several components: the largest one, and how many pairs have an end outside of it."""
     sizes = members.groupBy(key, "root").count()
-    most = sizes.groupBy(key).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_members = members.join(most, key)
-    columns = ("unit", "gid", "n", "listed", "matched", "last")
-    left = open_members.where("root <> main").select(key, F.struct(*columns).alias("x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("before").alias("before_x"))
-    right = open_members.select(key, F.struct(*columns).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("before").alias("before_y"))
+    most = sizes.groupBy(key).agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("all"), F.max("count").alias("most")
+    )
+    return most.where("roots > 1").select(key, "main", "all", ((F.col("all") - F.col("most")) * F.col("all")).cast("double").alias("pairs"))
+
+
+def can_be_similar(percent: int, alike: bool) -> Column:
+    """Size and place filter for members x and y (structs ABOUT), at place_x and place_y of the lists in which they meet.
+
+    alike: the units' prefixes are the same; else no more can be shared than the
+    less matched one has, and a pair is met where it first shares a token, so
+    nothing is lost where both come from the same token before.
+    """
     na, ia, nb, ib = F.col("x.n"), F.col("place_x"), F.col("y.n"), F.col("place_y")
     similar = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) * (100 + percent) >= percent * (na + nb))
     if not alike:
-        # a pair is met where it first shares a token: nothing is lost where both come from the same token before
         similar &= F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))
         similar &= (F.col("x.gid") != F.col("y.gid")) & enough(F.least("x.matched", "y.matched"), "x", "y", percent)
+    return similar
+
+
+def sides(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The members of each key as x and as y."""
+    one = lambda s: members.select(key, F.struct(*ABOUT).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "place", "before")))
+    return one("x"), one("y")
+
+
+def across(members: DataFrame, key: str, percent: int, alike: bool) -> DataFrame:
+    """Pairs (x, y) of units with one `key` whose components differ; the left one's group comes first in (n, gid).
+
+    members: key, root, place, before (the group's last long-listed token ahead
+    of this one) and ABOUT.  The largest component of each key is set aside:
+    every pair between components has a member outside of it.
+    """
+    open_members = members.join(open_keys(members, key), key)
+    left, right = sides(open_members.where("root <> main"), key)[0], sides(open_members, key)[1]
     first = F.struct("x.n", "x.gid", "x.unit") <= F.struct("y.n", "y.gid", "y.unit")
     return (
-        left.join(right, (left[key] == right[key]) & (F.col("root_x") != F.col("root_y")) & similar)
+        left.join(right, (left[key] == right[key]) & (F.col("root_x") != F.col("root_y")) & can_be_similar(percent, alike))
         .select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
         .distinct()
     )
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small: int = 8, block: int = 1 << 16) -> DataFrame:
+def partners(members: DataFrame, key: str, percent: int, alike: bool, turn: int) -> DataFrame:
+    """(a, b, central, pairs): every member outside of its key's main component with three others that it can be similar to.
+
+    These are the most central member of the main component (of whose prefix
+    the largest part stands in lists: a set that differs little from the others
+    of its kind), a drawn one, and the most central of those outside.  `pairs`
+    is, for the drawn ones, the number of members that each stands for: their
+    sum says about how many pairs there are.
+    """
+    open_members = members.join(open_keys(members, key), key)
+    drawn = F.xxhash64("unit", F.lit(turn))
+    central = F.col("matched") / F.col("n")
+    outside = F.col("root") != F.col("main")
+    y = F.struct(F.struct(*ABOUT).alias("y"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("before").alias("before_y"), central.alias("central"))
+    by = F.struct(central, drawn)
+    hubs = open_members.groupBy(key).agg(
+        F.max_by(y, F.when(~outside, by)).alias("inner"), F.max_by(y, F.when(~outside, drawn)).alias("any"), F.max_by(y, F.when(outside, by)).alias("outer"), F.first("all").alias("all")
+    )
+    left = sides(open_members.where(outside), key)[0]
+    met = left.join(hubs, key).select("x", "root_x", "place_x", "before_x", "all", F.posexplode(F.array("inner", "any", "outer")).alias("kind", "h")).select("*", "h.*")
+    met = met.where(F.col("root_x") != F.col("root_y")).where(can_be_similar(percent, alike))
+    return met.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"), "central", F.when(F.col("kind") == 1, F.col("all")).cast("double").alias("pairs"))
+
+
+def group_partners(open_pairs: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """(a, b, central, pairs) for each pair of groups: the members of each with a unit of the other's largest component, or else of another one."""
+    both = open_pairs.select("a", "b").unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    most = known.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("many"), F.max_by("unit", F.xxhash64("unit", F.lit(turn))).alias("unit"))
+    hub = F.struct("unit", "root")
+    order = F.struct("many", "root")
+    hubs = most.groupBy(F.col("gid").alias("b")).agg(F.max_by(hub, order).alias("inner"), F.min_by(hub, order).alias("outer"))
+    own = known.select(F.col("gid").alias("a"), F.col("unit").alias("x"), F.col("root").alias("root_x"))
+    met = both.join(hubs, "b").join(own, "a").select("x", "root_x", F.explode(F.array("inner", "outer")).alias("h"))
+    return met.where("root_x <> h.root").select(F.col("x").alias("a"), F.col("h.unit").alias("b"), F.lit(0.0).alias("central"), F.lit(None).cast("double").alias("pairs"))
+
+
+def contract(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known with the components that links (a, b) join under one root."""
+    end = lambda c: known.select(F.col("unit").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    got = known.join(roots, "root", "left").withColumn("root", F.coalesce("top", "root")).select(*known.columns)
+    return materialize(got, "known")
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small: int = 8, block: int = 1 << 16, spare: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every document; links are 100 * |x & y| >= percent * |x | y|.
 
     Words are lower-cased (A-Z).  Texts of fewer than `size` words have their
@@ -386,16 +441,38 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small:
     id are told apart by their sets.  An empty table gives no rows; other
     columns are not read.
     """
-    return row_components(docs, size, percent, small, block).drop("rid")
+    return row_components(docs, size, percent, small, block, spare).drop("rid")
+
 
+def row_components(docs: DataFrame, size: int, percent: int, small: int = 8, block: int = 1 << 16, spare: int = 4) -> DataFrame:
+    """jaccard_components with the rid of each row, as keyed gives it.
 
-def row_components(docs: DataFrame, size: int, percent: int, small: int = 8, block: int = 1 << 16) -> DataFrame:
-    """jaccard_components with the rid of each row, as keyed gives it."""
+    Pairs between components are verified at once if there are no more than
+    about `spare` for each unit.  Else every unit meets two partners of other
+    components, and what turns out similar is one component from then on; this
+    goes on until the pairs are few or a turn takes away less than an eighth of
+    them: then most of what is left isn't similar.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs)
-    seen = materialize(survey(rows, size), "shingle-survey")
-    levels = sketch_levels(seen)
+    with scope(spark):
+        seen = materialize(survey(rows, size), "shingle-survey")
+        levels = sketch.levels_of(seen)
+        own = materialize(seen.where("slice is null").select("rid", "doc_id", "n", "unit"), "shingle-units", keep=True)
+        discard(seen)
+        known = _unit_roots(rows, levels, size, percent, small, block, spare)
+        roots = materialize(known.select("unit", "root").where("unit <> root"), "unit-roots", keep=True)
+    labelled = own.join(roots, "unit", "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "unit").alias("root"))
+    empty = labelled.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = labelled.where("n_shingles > 0")
+    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return empty.unionByName(full.join(least, "root").select("rid", "doc_id", "n_shingles", "component_id"))
+
+
+def _unit_roots(rows: DataFrame, levels: np.ndarray, size: int, percent: int, small: int, block: int, spare: int) -> DataFrame:
+    """(unit, root, ..) of every different set with words."""
+    spark = rows.sparkSession
     lists = postings(rows, size, percent, levels, True).repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "gid")
     found = materialize(list_pairs(lists, percent, small, block), "group-pairs")
     tidy(spark)
@@ -418,53 +495,69 @@ def row_components(docs: DataFrame, size: int, percent: int, small: int = 8, blo
     best = group_pairs.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     inside = units.join(groups.select("gid", "head"), "gid").where("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
     links = materialize(verify(rows, units, best.unionByName(inside), size, percent), "links")
+    alone = units.join(groups.select("gid", "listed", "matched"), "gid").select(*ABOUT, F.col("unit").alias("root"))
+    known = contract(alone, links)
+    discard(links)
     tidy(spark)
 
     # then: what is left between different components
-    known = units.join(components(links).withColumnRenamed("node", "unit"), "unit", "left").select(
-        "unit", "gid", "n", F.coalesce("root", "unit").alias("root")
-    )
-    known = materialize(known.join(groups.select("gid", "listed", "matched", "last"), "gid"), "known")
-    # pairs of (group, component) first: groups that are one component don't expand
-    roots = known.select("gid", "root").distinct()
-    open_pairs = (
-        group_pairs.select("a", "b")
-        .join(roots.select(F.col("gid").alias("a"), F.col("root").alias("ra")), "a")
-        .join(roots.select(F.col("gid").alias("b"), F.col("root").alias("rb")), "b")
-        .where("ra <> rb")
-    )
-    between = (
-        open_pairs.join(known.select(F.col("gid").alias("a"), F.col("root").alias("ra"), F.col("unit").alias("x")), ["a", "ra"])
-        .join(known.select(F.col("gid").alias("b"), F.col("root").alias("rb"), F.col("unit").alias("y")), ["b", "rb"])
-        .select("x", "y")
-    )
-    in_group = across(known.withColumns({"place": F.lit(0), "before": F.lit(None).cast("long")}), "gid", percent, True).select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
-    before = F.lag("token").over(Window.partitionBy("gid").orderBy("place"))
-    members = found.where("token is not null").select("token", "gid", "place").distinct().withColumn("before", before).join(known, "gid")
+    ahead = F.lag("token").over(Window.partitionBy("gid").orderBy("place"))
+    in_lists = materialize(found.where("token is not null").select("token", "gid", "place").distinct().withColumn("before", ahead), "list-members")
+    some = spare * units.count()
+    turn, before = 0, float("inf")
+    while True:
+        inside = known.withColumns({"place": F.lit(0), "before": F.lit(None).cast("long")})
+        members = in_lists.join(known, "gid")
+        # pairs of (group, component): groups that are one component don't expand
+        roots = known.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("many"))
+        end = lambda c, roots=roots: roots.select(F.col("gid").alias(c), F.col("root").alias(f"r{c}"), F.col("many").alias(f"many_{c}"))
+        open_pairs = group_pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("ra <> rb")
+        drawn = group_partners(open_pairs, known, turn).unionByName(partners(inside, "gid", percent, True, turn)).unionByName(partners(members, "token", percent, False, turn))
+        drawn = materialize(drawn, "drawn-pairs")
+        now = _many(open_pairs.selectExpr("cast(many_a * many_b as double) pairs"), drawn)
+        if now <= some or now > 0.875 * before:
+            break
+        turn, before = turn + 1, now
+        # each with two of them: the most central one and any
+        two = drawn.groupBy("a").agg(F.max_by("b", F.struct("central", "b")).alias("b"), F.max_by("b", F.xxhash64("b", F.lit(turn))).alias("c"))
+        # the one that many meet is the centre of a star
+        two = two.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(two.select(F.col("c").alias("a"), F.col("a").alias("b")))
+        links = materialize(verify(rows, units, two, size, percent), "links")
+        last, known = known, contract(known, links)
+        for done in (drawn, links, last):
+            discard(done)
+        tidy(spark)
+    end = lambda c, x: known.select(F.col("gid").alias(c), F.col("root").alias(f"r{c}"), F.col("unit").alias(x))
+    between = open_pairs.join(end("a", "x"), ["a", "ra"]).join(end("b", "y"), ["b", "rb"]).select("x", "y")
+    in_group = across(inside, "gid", percent, True).select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
     in_list = across(members, "token", percent, False).withColumns({"a": F.col("x.gid"), "b": F.col("y.gid")})
     in_list = in_list.join(shared.drop("fit"), ["a", "b"], "left").fillna(0, ["shared"]).where(possible)
     in_list = in_list.select(F.col("x.unit").alias("x"), F.col("y.unit").alias("y"))
-    second = between.unionByName(in_group).unionByName(in_list).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    second = materialize(second.distinct(), "second-pairs")
-    links = links.unionByName(verify(rows, units, second, size, percent))
-    roots = components(links)
-
-    labelled = (
-        seen.where("slice is null")
-        .select("rid", "doc_id", "n", "unit")
-        .join(roots.withColumnRenamed("node", "unit"), "unit", "left")
-        .select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "unit").alias("root"))
-    )
-    empty = labelled.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = labelled.where("n_shingles > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return empty.unionByName(full.join(least, "root").select("rid", "doc_id", "n_shingles", "component_id"))
+    rest = between.unionByName(in_group).unionByName(in_list).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rest = materialize(rest.distinct(), "second-pairs")
+    tidy(spark)
+    links = materialize(verify(rows, units, rest, size, percent), "links")
+    return contract(known, links)
+
+
+def _many(*parts: DataFrame) -> float:
+    """The sum of all `pairs`."""
+    every = parts[0].select("pairs")
+    for part in parts[1:]:
+        every = every.unionByName(part.select("pairs"))
+    return every.agg(F.sum("pairs")).first()[0] or 0.0
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that have the least id of their component, or no id."""
-    found = row_components(docs, size, percent)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    """The rows of docs, with all their columns, that have the least id of their component, or no id.
+
+    Rows are told apart by id and text; odd rows are as in jaccard_components,
+    and columns of any other name are carried along.
+    """
+    with scope(docs.sparkSession):
+        found = row_components(docs, size, percent)
+        dropped = found.where("doc_id <> component_id").select(F.struct("doc_id", "rid").alias("near_copy")).distinct()
+        dropped = materialize(dropped, "near-copies", keep=True)
     own = docs["doc_id"].cast("long")
     rid = F.xxhash64(own, F.coalesce(docs["text"], F.lit("")))
-    return docs.join(materialize(dropped, "near-copies"), (own == F.col("_id")) & (rid == F.col("_rid")), "left_anti")
+    return docs.join(dropped, (own == dropped["near_copy"]["doc_id"]) & (rid == dropped["near_copy"]["rid"]), "left_anti")

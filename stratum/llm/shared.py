@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -9,35 +10,87 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests on one machine) a local folder."""
+    """The session's spark.checkpoint.dir, or the context's checkpoint folder; a local folder only where master is local too."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if root is None and current.isDefined():
+        root = current.get()
     if root is None:
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="stratum-")
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        root = tempfile.mkdtemp(prefix="stratum-")
     if not current.isDefined():
         sc.setCheckpointDir(root)
     return root
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder; it goes when the scope around it ends (with keep, the one around that)."""
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
+    return path
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """What is materialized inside goes at the end, but for what is kept: so a result that rests on one small table leaves only that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+        tidy(spark)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
-    Lineage ends there: a lost executor costs its own tasks and no more.
+    Lineage ends there: a lost executor costs its own tasks and no more.  The
+    shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, name, keep)
+    # and the driver keeps no long texts of plans
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__maxPlanStringLength="20000"):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratum_path = path
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what the driver holds of finished steps: plans and broadcasts that only garbage refers to, and memory that was freed already."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialize gave and that nothing needs any more."""
+    _delete(table.sparkSession, table._stratum_path)
+    for paths in _SCOPES:
+        if table._stratum_path in paths:
+            paths.remove(table._stratum_path)
 
 
 @contextmanager
@@ -71,9 +124,3 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(archive))
     sc._stratum_shipped = True
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps: they stay as long as the driver's garbage does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -10,7 +10,8 @@ its parent's distribution:
 with T(s) the number of different next symbols (under the parent's distribution
 G grows with T alone).  Distributions are smoothed towards the parent:
 P(n | s) = (c(s, n) + T(s) P(n | parent)) / (c(s) + T(s)).  A token is scored at
-the longest suffix of its history that is in the tree.
+the longest suffix of its history that is in the tree.  For the decision alone,
+P(n | parent) travels as a half-precision logarithm; scores use it in full.
 
 Texts are dealt to blocks of a few megabytes by a hash.  For each level, a block
 sends the distinct contexts and pairs that it holds, with its training counts,
@@ -41,7 +42,7 @@ END = np.uint64(0x8E51ECB5A1C0FFEE)
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 2
+    depth: int = 2  # words; the README has figures of what a third and a fourth add and cost
     least: int = 16  # training occurrences of a context
     slack: float = 1.0
     block: int = 4 << 20  # bytes of text
@@ -330,7 +331,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, settings:
     Learns from the rows whose crc32(doc_id as text) modulo `modulus` isn't
     `remainder`; a null id is held out.  Null and empty texts are one end.
     Repeated rows count as often as they stand; an empty table gives no rows;
-    other columns are not read.
+    other columns are not read.  A text of any length is scored whole, in one
+    block; contexts that diverge just as much as `slack` asks don't stay.
     """
     spark = docs.sparkSession
     ship(spark)

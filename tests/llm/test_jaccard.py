@@ -60,9 +60,26 @@ def test_streamed_lists_give_every_member(spark):
 
 
 def test_streamed_lists_lose_no_links(spark):
-    for seed in (1, 2):
+    # short blocks, and turns in which units meet drawn partners, as often as they take pairs away
+    for seed, spare in ((1, 0), (2, 4)):
         rows = corpus(seed)
-        assert result(jaccard_components(frame(spark, rows), small=2, block=2)) == brute.jaccard_components(rows)
+        assert result(jaccard_components(frame(spark, rows), small=2, block=2, spare=spare)) == brute.jaccard_components(rows)
+
+
+def test_many_components_in_one_list(spark):
+    """A passage that all texts begin with and tails that pair some of them: long lists of many components."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(2, 6)))
+    passage = [word() for _ in range(30)]
+    rows = []
+    for _ in range(25):
+        tail = [word() for _ in range(20)]
+        for _ in range(rng.choice([1, 2, 4])):
+            own = list(tail)
+            own[rng.randrange(len(own))] = word()
+            rows.append(" ".join(passage + own))
+    rows = list(enumerate(rows))
+    assert result(jaccard_components(frame(spark, rows), small=3, spare=0)) == brute.jaccard_components(rows)
 
 
 def test_generated_documents(spark):

@@ -18,7 +18,7 @@ def result(df):
     return {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in df.collect()}
 
 
-@pytest.mark.parametrize("settings", [{"least": 4, "block": 1 << 16}, {"depth": 3, "least": 2, "slack": 0.5, "block": 1 << 17}])
+@pytest.mark.parametrize("settings", [{"least": 4, "block": 1 << 16}, {"depth": 3, "least": 2, "slack": 0.5, "block": 1 << 17}, {"depth": 5, "least": 2, "block": 1 << 20}])
 def test_is_the_definition(spark, settings):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
@@ -30,7 +30,20 @@ def test_is_the_definition(spark, settings):
 
 
 def test_odd_rows(spark):
-    rows = [(1, "a b a b a b"), (2, None), (3, ""), (4, "a"), (6, "A b " * 50), (9, " \n ")]
+    rows = [(1, "a b a b a b"), (2, None), (3, ""), (4, "a"), (6, "A b " * 50), (9, " \n "), (10, "long " * 30_000)]
     frame = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, block int, rid string")
     compare(result(score_texts(frame, settings=Settings(least=1))), brute.suffix_tree_scores(rows, least=1))
     assert score_texts(frame.where(F.lit(False))).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c")] * 3 + [(2, "a b d"), (None, "a b c"), (None, "a b c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = score_texts(frame, settings=Settings(least=1)).collect()
+    assert len(got) == 6 and {(r["held_out"], r["doc_id"] is None) for r in got if r["doc_id"] is None} == {(True, True)}
+    trained = sum(1 for r in rows if r[0] is not None and not brute.suffix_tree_scores([r], least=1)[r[0]][0])
+    assert {r["train_tokens"] for r in got} == {4 * trained}
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["doc_id"] == 2), set()).add(round(r["score"], 9))
+    assert all(len(v) == 1 for v in by_text.values())
