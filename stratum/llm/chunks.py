@@ -1,11 +1,16 @@
 """Repeats of at least W symbols: what the two substring operators share.
 
-A window is W consecutive symbols (bytes or words) of one text.  The least
-hash among a window's k-grams is its anchor.  Equal windows have equal anchors,
+A window is W consecutive symbols (bytes or words) of one text.  The least of a
+window's k-grams is its anchor: the rarest first, as a count sketch of a fixed
+size over all texts knows them, then by hash.  Equal windows have equal anchors,
 so a repeat can only be found among windows of one anchor, and neighbouring
 windows mostly share theirs: a chunk is a run of consecutive windows with one
-anchor, a few dozen windows in one stretch of text.
+anchor, a few dozen windows in one stretch of text.  A line that very many
+texts have isn't an anchor where anything rarer stands beside it, so windows
+over such a line are dealt out by what is around it; only windows of nothing but
+frequent grams meet there, and equal ones of those are one.
 
+0. gram_levels: the sketch.
 1. cut_chunks: every text gives its chunks as small rows without text.
 2. repeated_chunks: anchors that occur once are done with.  Of equal chunks one
    stands for all (with its count), so a passage that a third of all texts share
@@ -27,10 +32,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions
+from . import sketch
+from .shared import materialize, partitions, scope
 from .textblock import U64, Words, column_bytes, mix64, powers, sliding_min, slices
 
 _BASE = 0xA0761D6478BD642F | 1
@@ -62,16 +68,18 @@ def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int =
         return mix64((sums[ends] - sums[starts]) * powers(inverse, len(h) + 1)[starts])
 
 
-def chunk_runs(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def chunk_runs(h: np.ndarray, first: np.ndarray, window: int, gram: int, levels: np.ndarray) -> tuple[np.ndarray, ...]:
     """Chunks of one slice: (text, first symbol in the slice, windows, anchor, chunk hash, whether the anchor stands in it again).
 
-    h: a hash for each symbol; first: index of each text's first symbol, with the end.
+    h: a hash for each symbol; first: index of each text's first symbol, with
+    the end; levels: of the sketch of all grams.
     """
     empty = np.zeros(0, dtype=np.int64)
     if len(h) < window:
         return empty, empty, empty, empty, empty, empty.astype(bool)
     at = np.arange(len(h) - gram + 1)
     grams = span_hashes(h, at, at + gram)
+    grams = sketch.level(levels, grams).astype(U64) << U64(56) | grams >> U64(8)
     least = sliding_min(grams, window - gram + 1)
     counts = np.diff(first) - window + 1
     rows = np.flatnonzero(counts > 0)
@@ -103,11 +111,28 @@ def symbols_of(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarr
     return buf.astype(U64) + U64(1), offsets, buf, None
 
 
-def cut_chunks(docs: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
+def gram_levels(docs: DataFrame, gram: int, words: bool) -> np.ndarray:
+    """The levels of all texts' grams (those over two texts' border count too: an order needs no exact counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.cells()
+        for batch in slices(batches, limit=1 << 20):
+            h = symbols_of(batch, words)[0]
+            at = np.arange(max(0, len(h) - gram + 1))
+            sketch.add(counts, span_hashes(h, at, at + gram))
+        yield pa.record_batch([*sketch.pieces(counts)], names=["slice", "counts"])
+
+    return sketch.levels_of(docs.select("text").mapInArrow(run, "slice int, counts binary"))
+
+
+def cut_chunks(docs: DataFrame, window: int, gram: int, words: bool, levels: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in slices(batches, limit=1 << 20):
             h, first, _, _ = symbols_of(batch, words)
-            row, start, windows, anchor, chunk, again = chunk_runs(h, first, window, gram)
+            row, start, windows, anchor, chunk, again = chunk_runs(h, first, window, gram, levels)
             take = pa.array(row)
             yield pa.record_batch(
                 [
@@ -129,7 +154,8 @@ def repeated_chunks(chunks: DataFrame, across_documents: bool) -> DataFrame:
     """Chunks whose anchor occurs again, with `stands` (one of each set of equal chunks) and `copies` (how many these are).
 
     across_documents: an anchor counts only if texts of different ids have it.
-    Equal chunks are gathered by partial aggregation before any join.
+    Equal chunks are gathered by partial aggregation before any join, and what
+    an anchor has is summed the same way, so no task holds all of one.
     """
     per_chunk = chunks.groupBy("anchor", "chunk").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -139,9 +165,9 @@ def repeated_chunks(chunks: DataFrame, across_documents: bool) -> DataFrame:
         F.max(F.col("windows")).alias("windows"),
         F.max("again").alias("again"),
     )
-    w = Window.partitionBy("anchor")
-    alive = F.min("lo").over(w) < F.max("hi").over(w) if across_documents else (F.sum("copies").over(w) > 1) | F.col("again")
-    return per_chunk.withColumn("alive", alive).where("alive").select("anchor", "chunk", "copies", "lo", "one", "windows")
+    per_anchor = per_chunk.groupBy("anchor").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.sum("copies").alias("times"), F.max("again").alias("twice"))
+    alive = per_anchor.where("least < most" if across_documents else "times > 1 or twice").select("anchor")
+    return per_chunk.join(alive, "anchor").select("anchor", "chunk", "copies", "lo", "one", "windows")
 
 
 def chunk_texts(docs: DataFrame, standing: DataFrame, window: int, words: bool) -> DataFrame:
@@ -152,7 +178,16 @@ def chunk_texts(docs: DataFrame, standing: DataFrame, window: int, words: bool)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in slices(batches, limit=1 << 20):
+            # rows that repeat id and text stand next to each other after the join: one of them is enough
+            rid = batch.column("rid").to_numpy()
+            new = np.append(rid[0] != last, rid[1:] != rid[:-1])
+            last = rid[-1]
+            if not new.all():
+                batch = batch.filter(pa.array(new))
+            if not batch.num_rows:
+                continue
             _, first, buf, w = symbols_of(batch, words) if words else (None, *column_bytes(batch.column("text"))[::-1], None)
             parts = batch.column("parts")
             row = np.repeat(np.arange(batch.num_rows), np.asarray(parts.value_lengths()))
@@ -228,9 +263,13 @@ def find_repeats(
     which begins with anchor and chunk.
     """
     rows = keyed(docs, carry=carry)
-    chunks = materialize(cut_chunks(rows.select("rid", "doc_id", "text"), window, gram, words), "chunks", "lz4")
-    standing = materialize(repeated_chunks(chunks, across_documents), "standing")
-    decided = chunk_texts(rows, standing, window, words).mapInArrow(decide, schema)
-    extra = [c for c in decided.columns if c not in ("anchor", "chunk")]
-    marks = chunks.select("rid", "start", "anchor", "chunk").join(decided, ["anchor", "chunk"])
-    return rows, marks.groupBy("rid").agg(F.collect_list(F.struct("start", *extra)).alias("marks"))
+    with scope(docs.sparkSession):
+        levels = gram_levels(rows, gram, words)
+        chunks = materialize(cut_chunks(rows.select("rid", "doc_id", "text"), window, gram, words, levels), "chunks", "lz4")
+        standing = materialize(repeated_chunks(chunks, across_documents), "standing")
+        decided = chunk_texts(rows, standing, window, words).mapInArrow(decide, schema)
+        extra = [c for c in decided.columns if c not in ("anchor", "chunk")]
+        # rows that repeat id and text have the same marks: once for all of them
+        marks = chunks.select("rid", "start", "anchor", "chunk").join(decided, ["anchor", "chunk"]).dropDuplicates(["rid", "start"])
+        marks = materialize(marks.groupBy("rid").agg(F.collect_list(F.struct("start", *extra)).alias("marks")), "marks", keep=True)
+    return rows, marks

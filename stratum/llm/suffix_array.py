@@ -106,7 +106,8 @@ def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 32, block: int
     bytes that stay).  A null or empty text has nothing to remove.  Rows that
     repeat both id and text are documents of their own: each makes the other a
     repeat.  A null id stays null; an empty table gives no rows; other columns
-    are not read.
+    are not read.  A text of any length is cut into chunks and put together again
+    in one task.
     """
     if not 8 <= gram <= window:
         raise ValueError("8 <= gram <= window is needed")

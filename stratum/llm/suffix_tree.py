@@ -110,7 +110,9 @@ def substring_dedup(
     null id is larger than any other and stays null; rows that repeat an id are
     one document, so they take nothing from each other.  An empty table gives
     no rows; other columns are not read, but those in `carry`
-    come along; with `whole`, texts that lose nothing stay as they are in `kept`.
+    come along; with `whole`, texts that lose nothing stay as they are in `kept`.  A text
+    of any length is cut into chunks and put together again in one task; windows
+    that stand in several earlier documents go as those of one do.
     """
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window is needed")
@@ -160,15 +162,16 @@ def substring_dedup(
                 own_words = np.flatnonzero(stay[a:b]) + a
                 kept.append(spans_join(words.buf, words.start[own_words], words.end[own_words]))
                 removed.append(b - a - len(own_words))
-                if whole and not removed[-1]:
-                    i = len(removed) - 1
-                    kept[-1] = words.buf[words.offsets[i] : words.offsets[i + 1]].tobytes()
+            digests = [hashlib.sha256(x).hexdigest() for x in kept]
+            if whole:
+                spans = zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)
+                kept = [x if n else words.buf[a:b].tobytes() for x, n, (a, b) in zip(kept, removed, spans, strict=True)]
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
                     pa.array(words.count),
                     pa.array(removed, pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                    pa.array(digests),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                     *([batch.column("rest")] if carry else []),
                 ],
@@ -179,13 +182,13 @@ def substring_dedup(
 
 
 def keep_first_passages(docs: DataFrame, window: int = 50) -> DataFrame:
-    """docs with the words that substring_dedup removes taken out of `text`, n_chars adjusted; texts that lose nothing stay as they are."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    got = substring_dedup(docs, window, carry=(*others, "n_chars"), whole=True)
-    cut = F.col("n_removed") > 0
-    columns = {
-        "text": F.col("kept"),
-        "n_chars": F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars")),
-        "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType),
-    }
+    """docs with the words that substring_dedup removes taken out of `text`; texts that lose nothing stay as they are, a null one is empty.
+
+    n_chars, where docs has it, follows the text.  Columns of any other name are
+    carried along; odd rows are as in substring_dedup.
+    """
+    got = substring_dedup(docs, window, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), whole=True)
+    columns = {"text": F.col("kept"), "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
     return got.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
