@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, settings, shared_path
+from .shared import materialize, scope, settings, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -68,38 +68,55 @@ def latest_state(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def verify_bytes(docs: DataFrame, state: DataFrame, text_col: str = "text") -> None:
-    """Compares the whole texts behind every digest that was hit again; different texts under one digest raise.
+def clashes(docs: DataFrame, state: DataFrame, text_col: str = "text", few: int = 100_000) -> DataFrame:
+    """The digests that different texts share: whole texts behind every digest that was hit again are compared byte for byte.
 
     Equal texts collapse under partial aggregation, so no task sees a whole
-    group of copies; what is left is counted by digest.
+    group of copies.  Up to `few` hits are broadcast, and no other text moves;
+    with more of them texts are grouped first and joined then.
     """
     hits = state.where("group_size > 1").select("digest")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    clash = (
-        docs.select(text.alias("t"))
-        .select(F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), "t")
-        .groupBy("digest", "t")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("digest")
-        .count()
-        .where("count > 1")
-    )
-    if clash.join(hits, "digest", "left_semi").limit(1).count():
-        raise ValueError("different texts share a digest; nothing was merged")
+    texts = _digested(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")))
+    if hits.count() <= few:
+        texts = texts.join(F.broadcast(hits), "digest", "left_semi")
+        return texts.distinct().groupBy("digest").count().where("count > 1").select("digest")
+    different = texts.distinct().groupBy("digest").count().where("count > 1").select("digest")
+    return different.join(hits, "digest", "left_semi")
+
+
+def _digested(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("digest", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
+
+
+def split_by_text(docs: DataFrame, clash: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What exact_dedup returns for the rows whose digest stands for several texts: groups are the texts themselves."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), F.input_file_name().alias("source_file"))
+    rows = _digested(rows).join(clash, "digest")
+    state = rows.groupBy("t").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "source_file")).alias("keeper"))
+    state = state.select("t", "group_size", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.source_file").alias("locator"))
+    return rows.join(state, "t").select("doc_id", "digest", "keep_id", "group_size", "locator", F.xxhash64("t").alias("which"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that exact_dedup keeps; of rows that repeat both id and text any one."""
-    copies = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    fates = materialize(copies.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"), "fates")
-    own = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_sha"))
-    single = docs.join(fates.select("_id", "_sha"), same, "left_anti")
-    again = fates.where("kept").select("_id", "_sha")
+    """The rows of docs, with all their columns, that exact_dedup keeps; of rows that repeat both id and text any one.
+
+    Odd rows are as in exact_dedup; columns of any other name are carried along.
+    """
+    with scope(docs.sparkSession):
+        found = _fates(docs, id_col, text_col).where("group_size > 1")
+        copies = found.groupBy(F.struct("doc_id", "digest", "which").alias("row")).agg(F.first(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.count(F.lit(1)).alias("times"))
+        fates = materialize(copies.where("not kept or times > 1"), "fates", keep=True)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    row, digest = fates["row"], F.unhex(F.sha2(text.cast("binary"), 256))
+    # which tells texts of one digest apart, where that is needed
+    same = docs[id_col].cast("long").eqNullSafe(row["doc_id"]) & (digest == row["digest"]) & (row["which"].isNull() | (row["which"] == F.xxhash64(text)))
+    single = docs.join(fates, same, "left_anti")
+    again = fates.where("kept")
     if again.isEmpty():
         return single
-    return single.unionByName(docs.join(again, same).dropDuplicates(["_id", "_sha"]).drop("_id", "_sha"))
+    # one of each: the whole rows under one name, so that no column of docs can clash
+    whole = docs.join(again, same).select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), again["row"].alias("row"))
+    return single.unionByName(whole.dropDuplicates(["row"]).select("doc.*"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,9 +124,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of equal texts the row with the largest id stays.  A null text equals an
     empty one.  A null id never wins over another; rows that repeat an id share
-    its fate, each of them with the same `kept`.  An empty table gives an empty
-    result.  Other columns are not read.
+    its fate, each of them with the same `kept`.  Different texts of one digest
+    are groups of their own.  A text of any length is a digest of 32 bytes; it is
+    read whole, and compared whole if the digest comes again.  An empty table
+    gives an empty result.  Other columns are not read.
     """
+    return _fates(docs, id_col, text_col).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+        "locator",
+    )
+
+
+def _fates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, locator, which) of every row; which is null but for texts whose digest isn't theirs alone."""
     spark = docs.sparkSession
     records = materialize(digest_records(docs, id_col, text_col), "digests")
     out, checkpoint = shared_path(spark, "dedup-state"), shared_path(spark, "dedup-checkpoint")
@@ -121,12 +152,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "cast(null as binary) digest", "id group_size", "struct(id as doc_id, cast(null as string) as source_file) keeper"
     ).coalesce(1).write.parquet(f"{out}/batch=-1")  # so that an empty stream has a state too
     state = latest_state(spark, out)
-    verify_bytes(docs, state, text_col)
-    return records.join(state, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-        "locator",
-    )
+    clash = materialize(clashes(docs, state, text_col), "clashes")
+    plain = records.join(state, "digest").select("doc_id", "digest", "keep_id", "group_size", "locator", F.lit(None).cast("long").alias("which"))
+    if clash.isEmpty():
+        return plain
+    return plain.join(clash, "digest", "left_anti").unionByName(split_by_text(docs, clash, id_col, text_col))

@@ -44,18 +44,19 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
-def test_a_shared_digest_is_found(spark):
-    docs = texts(spark, [(1, "a"), (2, "b")])
-    fake = docs.select(F.unhex(F.sha2(F.lit("a"), 256)).alias("digest"), F.lit(2).cast("long").alias("group_size"))
-    exact_dedup.verify_bytes(docs, fake)
-    clash = docs.select(F.col("doc_id"), F.col("text"))
-    same = exact_dedup.F.sha2
-    try:
-        exact_dedup.F.sha2 = lambda c, n: same(F.lit("a").cast("binary"), n)
-        with pytest.raises(ValueError):
-            exact_dedup.verify_bytes(clash, fake)
-    finally:
-        exact_dedup.F.sha2 = same
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_texts_of_one_digest_are_told_apart(spark, monkeypatch, few):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "a"), (4, "a"), (5, "c"), (6, "b")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, row int, digest int, _id int")
+    hits = exact_dedup._digested(docs.select(F.col("text").alias("t"))).groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    assert exact_dedup.clashes(docs, hits, few=few).count() == 0
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("00"))  # every digest is the same one
+    assert exact_dedup.clashes(docs, hits.withColumn("digest", F.unhex(F.lit("00"))), few=few).count() == 1
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == [(1, 4, 4, False), (2, 6, 2, False), (3, 4, 4, False), (4, 4, 4, True), (4, 4, 4, True), (5, 5, 1, True), (6, 6, 2, True)]
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(4, "a"), (5, "c"), (6, "b")]
 
 
 def test_stream_over_several_batches(spark, tmp_path):
