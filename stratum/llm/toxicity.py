@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import held_out, labelled_sample, sigmoid
-from .shared import ship
+from .shared import ship, tidy
 from .textblock import Words, column_bytes, slices
 
 
@@ -199,7 +199,9 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, settings: Settings) -> tuple[np.ndarray, float]:
-    return train(*labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class), settings)
+    learnt = train(*labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class), settings)
+    tidy(docs.sparkSession)
+    return learnt
 
 
 def clean_documents(
