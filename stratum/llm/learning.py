@@ -14,14 +14,16 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, longest: int = 1 << 18
 ) -> tuple[pa.Array, np.ndarray]:
     """Texts and 0/1 labels of at most 2 * per_class rows that aren't held out, half of them of each class if there are as many.
 
     The rows with the least hash of the id are taken: a sample of the whole
     table, the same one on every run, however large the table is; so its ids may
     be broadcast.  Where a class is rare the other one fills up.  Null labels and ids are left out; an
-    id that is labelled twice counts with its greatest label.
+    id that is labelled twice counts with its greatest label.  An id that several
+    rows have gives its least text, and texts of more than `longest` bytes aren't
+    learnt from (all are scored): so rows and bytes at the driver are bounded.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
@@ -39,6 +41,7 @@ def labelled_sample(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(chosen), "doc_id"
     )
+    rows = rows.where(F.octet_length("text") <= longest).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.toArrow().combine_chunks()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     got = got.take(pa.array(order))

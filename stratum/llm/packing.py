@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions, ship
+from .shared import discard, materialize, partitions, ship
 from .textblock import U64, column_bytes, mix64, powers, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -265,11 +265,11 @@ def place_pieces(pieces: DataFrame, size: int) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
     pieces = materialize(pieces, "cut-pieces")  # ranges are sampled first: the texts aren't encoded twice
-    # a length that a third of all pieces have is spread over many ranges by the id; equal ids by the checksum
-    dealt = materialize(
-        pieces.repartitionByRange(partitions(spark), "length", "doc_id", "piece", "ids_crc32").withColumn("part", F.spark_partition_id()),
-        "pieces",
-    )
+    # a length that a third of all pieces have is spread over many ranges by the id; equal rows by their place in the table
+    spread = pieces.withColumn("_place", F.monotonically_increasing_id())
+    spread = spread.repartitionByRange(partitions(spark), "length", "doc_id", "piece", "ids_crc32", "_place").drop("_place")
+    dealt = materialize(spread.withColumn("part", F.spark_partition_id()), "pieces")
+    discard(pieces)
     counts: dict[int, int] = {}
     first: dict[tuple[int, int], int] = {}
     # ranges follow the length: at most (partitions + size) rows reach the driver
@@ -303,7 +303,9 @@ def pack(
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one
     row per piece.  A null or empty text is the end id alone.  A null doc_id
     stays null, repeated rows are packed each on their own, an empty table
-    gives no rows, and other columns are not read.
+    gives no rows, and other columns are not read.  A text of any length is
+    encoded whole and cut into pieces, the first of which may be shorter; of
+    pieces of one length any can stand for another, so ties change only numbers.
     """
     ship(docs.sparkSession)
     return place_pieces(cut_pieces(docs, size, end_id, tokenizer_path, ranks_path, pattern), size)
