@@ -55,3 +55,28 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 100 and "sequence_id" in rows.columns
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    """Nulls in every column, repeated rows, a very long text, clashing extra columns, no n_chars."""
+    long = " ".join(f"w{i % 7919}x{i % 31}" for i in range(60_000))
+    text = "a plain text of some words that stands here more than once " * 3
+    rows = [(1, text), (2, text), (2, text), (None, text), (None, None), (5, None), (6, ""), (7, long), (8, long + " end"), (9, " \n "), (None, "x")]
+    schema = "doc_id long, text string, _id int, near_copy int, row string, rid long, rest int, digest string, marks int, part int"
+    docs = spark.createDataFrame([(d, t, *[None] * 8) for d, t in rows], schema)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, FOLDER)
+        assert kept.columns == docs.columns, name
+        kept = spark.createDataFrame(kept.collect(), schema)
+    ids = sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect())
+    # of equal texts the largest id; of near copies the least; rows without an id stay
+    assert ids == sorted(["2", "6", "7", "9", "None"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, FOLDER)
+    assert packed.where("piece = 0").count() == len(ids)
+
+
+def test_empty_tables_go_through(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, FOLDER).count() == 0
