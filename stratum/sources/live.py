@@ -4,9 +4,10 @@
     spark.readStream.format("stratum-live").option("feed", "package.module:function").load()
 
 The feed is a function (start, limit) that returns blocks as (num, id,
-parent_id, lib_num, payload) with numbers from `start` on, in the order in which
+parent_id, lib_num, payload) from the start-th on, in the order in which
 they came, as many as there are now: a gRPC client, a folder of one-block
-files, a queue.  It runs on the driver, which holds one batch of `limit` blocks.
+files, a queue.  Its module must be importable where Spark runs Python; it runs
+beside the driver, which holds one batch of `limit` blocks.
 A batch that is read again after a failure comes from the feed again.
 """
 

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from block_feed import ROWS
 from pyspark.sql import functions as F
 from stratum.__main__ import parser, run
 from stratum.config import Config
@@ -283,15 +284,10 @@ def test_finality_keeps_its_head(spark, tmp_path):
     assert sum(finality(spark, tmp_path, batches), []) == ["1a", "2a", "3a"]
 
 
-FEED = [(i, f"{i}a", f"{i - 1}a", max(0, i - 2), f"w{i}") for i in range(1, 8)]
-
-
 def test_live_source(spark, tmp_path):
-    (tmp_path / "stratum_feed.py").write_text(f"ROWS = {FEED!r}\n\n\ndef blocks(at, limit):\n    return ROWS[at : at + limit]\n")
-    spark.sparkContext.addPyFile(str(tmp_path / "stratum_feed.py"))
     spark.dataSource.register(LiveBlocks)
     query = (
-        spark.readStream.format("stratum-live").option("feed", "stratum_feed:blocks").option("limit", "3").load()
+        spark.readStream.format("stratum-live").option("feed", "tests.block_feed:blocks").option("limit", "3").load()
         .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     )
     rows = lambda: spark.read.schema(LiveBlocks({}).schema()).parquet(str(tmp_path / "out"))
@@ -301,7 +297,7 @@ def test_live_source(spark, tmp_path):
             time.sleep(1)
     finally:
         query.stop()
-    assert [tuple(r) for r in rows().orderBy("num").collect()] == FEED
+    assert [tuple(r) for r in rows().orderBy("num").collect()] == ROWS
 
 
 # jobs
