@@ -269,7 +269,7 @@ def find_repeats(
         standing = materialize(repeated_chunks(chunks, across_documents), "standing")
         decided = chunk_texts(rows, standing, window, words).mapInArrow(decide, schema)
         extra = [c for c in decided.columns if c not in ("anchor", "chunk")]
-        # rows that repeat id and text have the same marks: once for all of them
-        marks = chunks.select("rid", "start", "anchor", "chunk").join(decided, ["anchor", "chunk"]).dropDuplicates(["rid", "start"])
-        marks = materialize(marks.groupBy("rid").agg(F.collect_list(F.struct("start", *extra)).alias("marks")), "marks", keep=True)
+        marks = chunks.select("rid", "start", "anchor", "chunk").join(decided, ["anchor", "chunk"])
+        # a set: rows that repeat id and text have the same marks, which stay one before and after the shuffle
+        marks = materialize(marks.groupBy("rid").agg(F.collect_set(F.struct("start", *extra)).alias("marks")), "marks", keep=True)
     return rows, marks

@@ -31,7 +31,7 @@ def cells() -> np.ndarray:
 
 def add(counts: np.ndarray, hashes: np.ndarray) -> None:
     """Counts hashes into a task's cells."""
-    np.add.at(counts, _cell(hashes), 1)
+    np.add(counts, np.bincount(_cell(hashes), minlength=CELLS), out=counts, casting="unsafe")
 
 
 def pieces(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
