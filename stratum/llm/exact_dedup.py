@@ -44,7 +44,8 @@ def fold_stream(records: DataFrame, out: str, checkpoint: str) -> None:
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    with settings(records.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    # a store is closed when its task has committed it: open ones take some MB of disk for each partition
+    with settings(records.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__unloadOnCommit="true"):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint)
