@@ -423,6 +423,7 @@ def group_partners(open_pairs: DataFrame, known: DataFrame, turn: int) -> DataFr
 
 def contract(known: DataFrame, links: DataFrame) -> DataFrame:
     """known with the components that links (a, b) join under one root."""
+    tidy(known.sparkSession)
     end = lambda c: known.select(F.col("unit").alias(c), F.col("root").alias(f"root_{c}"))
     edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
     roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -489,6 +490,7 @@ def _unit_roots(rows: DataFrame, levels: np.ndarray, size: int, percent: int, sm
     possible = enough(F.least(F.col("shared") + F.least("x.listed", "y.listed"), F.least("x.matched", "y.matched")), "x", "y", percent)
     group_pairs = shared.where("fit >= 2").join(left, "a").join(right, "b").where(possible)
     group_pairs = materialize(group_pairs.select("a", "b", "shared", F.col("x.head").alias("x"), F.col("y.head").alias("y")), "possible-pairs")
+    tidy(spark)
 
     # first: each group with the two groups it shares most with, each member with its group's head
     w = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a")
@@ -514,6 +516,7 @@ def _unit_roots(rows: DataFrame, levels: np.ndarray, size: int, percent: int, sm
         open_pairs = group_pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("ra <> rb")
         drawn = group_partners(open_pairs, known, turn).unionByName(partners(inside, "gid", percent, True, turn)).unionByName(partners(members, "token", percent, False, turn))
         drawn = materialize(drawn, "drawn-pairs")
+        tidy(spark)
         now = _many(open_pairs.selectExpr("cast(many_a * many_b as double) pairs"), drawn)
         if now <= some or now > 0.875 * before:
             break

@@ -7,10 +7,13 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
+from threading import Lock
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,13 +79,62 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", keep: bool = Fals
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets go of what the driver holds of finished steps: plans and broadcasts that only garbage refers to, and memory that was freed already."""
+    """Lets go of what the driver holds of finished steps: plans and broadcasts that only garbage refers to, and memory that was freed already.
+
+    The JVM keeps most of what a step has taken (a heap of three times what is
+    alive, and what its compilers and threads have freed), so the driver would
+    grow with the number of steps; it is asked to give that back as well.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    with _lean_heap(jvm):
+        jvm.System.gc()
+    with suppress(Py4JError, PySparkException):  # a JVM without that command
+        _diagnose(spark, "systemTrimNativeHeap")
+
+
+def _diagnose(spark: SparkSession, command: str) -> str:
+    """What the driver's JVM answers to one of its diagnostic commands (those of jcmd) without arguments."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    # by reflection on the interface: the server's own class isn't open to callers
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    find = jvm.java.lang.Class.forName
+    method = find("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(find, names)))
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    call = array(jvm.java.lang.Object, bean, command, array(jvm.java.lang.Object), array(jvm.java.lang.String))
+    return method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+
+
+_LEAN = Lock()
+
+
+@contextmanager
+def _lean_heap(jvm):
+    """While it lasts, a collection leaves half as much heap again as is alive, if the JVM lets that be set."""
+    with _LEAN:
+        before = {}
+        with suppress(Py4JError, PySparkException):
+            bean = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+            for k, v in (("MinHeapFreeRatio", "10"), ("MaxHeapFreeRatio", "33")):
+                old = bean.getVMOption(k).getValue()
+                bean.setVMOption(k, v)
+                before[k] = old
+        try:
+            yield
+        finally:
+            for k, v in reversed(before.items()):  # the lesser may not pass the greater
+                bean.setVMOption(k, v)
 
 
 def discard(table: DataFrame) -> None:

@@ -199,7 +199,9 @@ def train(texts: pa.Array, y: np.ndarray, s: Settings) -> tuple[np.ndarray, floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, settings: Settings) -> tuple[np.ndarray, float]:
-    learnt = train(*labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class), settings)
+    sample = labelled_sample(docs, labels, "toxic", modulus, remainder, settings.per_class)
+    tidy(docs.sparkSession)  # training takes memory of its own
+    learnt = train(*sample, settings)
     tidy(docs.sparkSession)
     return learnt
 
