@@ -47,6 +47,7 @@ class Settings:
     slack: float = 1.0
     block: int = 4 << 20  # bytes of text
     salts: int = 16  # of a heavy context
+    merge: int = 1 << 17  # pairs that a partition sums at once
 
 
 ASKS = "cp int, block int, keys binary, sizes binary, pairs binary, counts binary, parents binary"
@@ -174,49 +175,63 @@ def answer_base(batches):
     )
 
 
-def answer_level(heavy: float, slack: float) -> Callable:
-    """Counts for every pair, and for every context T if it stays, 0 if it goes, -1 if the heavy sums decide."""
+def answer_level(heavy: float, slack: float, merge: int = Settings.merge) -> Callable:
+    """Counts for every pair, and for every context T if it stays, 0 if it goes, -1 if the heavy sums decide.
+
+    What was asked is held in the narrow types in which it came.  Counts, G and T
+    are sums over pairs, so pairs are summed one hash range after another, and
+    the wide arrays are those of some `merge` pairs, whatever their contexts are.
+    """
 
     def run(batches):
         batches = list(batches)
         table = pa.Table.from_batches(batches) if batches else None
         if table is None or not table.num_rows:
             return
-        context, total, entry_context, pair, rows_c, rows_p = [], [], [], [], [], []
-        base = 0
+        context, total, size, pair = [], [], [], []
         for keys, sizes, pairs in zip(table.column("keys"), table.column("sizes"), table.column("pairs"), strict=True):
             c = np.frombuffer(keys.as_buffer(), dtype=U64)
             both = unsqueeze(sizes.as_py(), np.int64)
             context.append(c)
+            size.append(both[: len(c)].astype(np.uint32))
             total.append(both[len(c) :])
-            entry_context.append(np.repeat(np.arange(len(c)) + base, both[: len(c)]))
-            p = np.zeros((int(both[: len(c)].sum()), 4), dtype=np.uint16)
-            p[:, :3] = np.frombuffer(pairs.as_buffer(), dtype=np.uint16).reshape(-1, 3)
-            pair.append(p.view(np.uint64).ravel())
-            rows_c.append(len(c))
-            rows_p.append(len(p))
-            base += len(c)
-        context, total, entry_context, pair = (np.concatenate(x) for x in (context, total, entry_context, pair))
-        counts = np.concatenate([unsqueeze(c.as_py(), np.uint32) for c in table.column("counts")]).astype(np.int64)
-        parent = np.exp(np.concatenate([unsqueeze(c.as_py(), np.float16) for c in table.column("parents")]).astype(np.float64))
-        names, number = np.unique(context, return_inverse=True)
+            pair.append(np.frombuffer(pairs.as_buffer(), dtype=np.uint16).reshape(-1, 3))
+        rows_c, rows_p = [len(x) for x in context], [len(x) for x in pair]
+        names, number = np.unique(np.concatenate(context), return_inverse=True)
+        number = number.astype(np.int32)
         c_total = np.zeros(len(names), dtype=np.int64)
-        c_total[number] = total
-        own = number[entry_context]
-        order = np.lexsort((pair, own))
-        new = np.append(True, (own[order][1:] != own[order][:-1]) | (pair[order][1:] != pair[order][:-1]))
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        summed = np.bincount(group, counts).astype(np.int64)
-        first = order[new]
-        c, owner, p = summed, own[first], parent[first]
-        some = c > 0
-        gain = np.zeros(len(c))
-        gain[some] = c[some] * np.log(c[some] / c_total[owner[some]] / p[some])
-        g = np.bincount(owner, gain, len(names))
-        t = np.bincount(owner, some, len(names)).astype(np.int64)
-        kind = np.where(c_total >= heavy, -1, np.where((g > slack * t) & (t > 0), t, 0))
-        seen = summed[group]
+        c_total[number] = np.concatenate(total)
+        own, pair = np.repeat(number, np.concatenate(size)), np.concatenate(pair)
+        counts = np.concatenate([unsqueeze(c.as_py(), np.uint32) for c in table.column("counts")])
+        parent = np.concatenate([unsqueeze(c.as_py(), np.float16) for c in table.column("parents")])
+        cp, block = table.column("cp").combine_chunks(), table.column("block").combine_chunks()
+        del table, batches, context, total, size, keys, sizes, pairs, c, both
+
+        ranges = min(-(-len(own) // merge), 1 << 16)
+        part = (pair[:, 2].astype(np.uint32) * np.uint32(ranges) >> np.uint32(16)).astype(np.uint16)
+        by_range = np.argsort(part, kind="stable")
+        ends = np.cumsum(np.bincount(part, minlength=ranges)).tolist()
+        seen = np.zeros(len(own), dtype=np.uint32)
+        g, t = np.zeros(len(names)), np.zeros(len(names), dtype=np.int64)
+        for o, e in zip([0, *ends[:-1]], ends, strict=True):
+            if o == e:
+                continue
+            at = by_range[o:e]
+            q = np.zeros((len(at), 4), dtype=np.uint16)
+            q[:, :3] = pair[at]
+            q = q.view(np.uint64).ravel()
+            order = np.lexsort((q, own[at]))
+            at, q = at[order], q[order]
+            w = own[at]
+            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (q[1:] != q[:-1])))
+            summed = np.add.reduceat(counts[at].astype(np.int64), first)
+            seen[at] = np.repeat(summed, np.diff(np.append(first, len(at))))
+            first, c = first[summed > 0], summed[summed > 0]
+            owner, p = w[first], np.exp(parent[at[first]].astype(np.float64))
+            np.add.at(g, owner, c * np.log(c / c_total[owner] / p))
+            np.add.at(t, owner, 1)
+
+        kind = np.where(c_total >= heavy, -1, np.where((g > slack * t) & (t > 0), t, 0)).astype(np.int32)
         ends_p, ends_c = np.cumsum(rows_p), np.cumsum(rows_c)
         kinds = kind[number]
         is_heavy = np.flatnonzero(kind < 0)
@@ -224,10 +239,10 @@ def answer_level(heavy: float, slack: float) -> Callable:
         sums["c"], sums["g"], sums["t"] = names[is_heavy], g[is_heavy], t[is_heavy]
         yield pa.record_batch(
             [
-                pa.concat_arrays([table.column("cp").combine_chunks(), pa.array([-1], pa.int32())]),
-                pa.concat_arrays([table.column("block").combine_chunks(), pa.array([-1], pa.int32())]),
-                pa.array([*(squeeze(seen[e - n : e].astype(np.uint32)) for e, n in zip(ends_p.tolist(), rows_p, strict=True)), sums.tobytes()], pa.binary()),
-                pa.array([*(squeeze(kinds[e - n : e].astype(np.int32)) for e, n in zip(ends_c.tolist(), rows_c, strict=True)), b""], pa.binary()),
+                pa.concat_arrays([cp, pa.array([-1], pa.int32())]),
+                pa.concat_arrays([block, pa.array([-1], pa.int32())]),
+                pa.array([*(squeeze(seen[e - n : e]) for e, n in zip(ends_p.tolist(), rows_p, strict=True)), sums.tobytes()], pa.binary()),
+                pa.array([*(squeeze(kinds[e - n : e]) for e, n in zip(ends_c.tolist(), rows_c, strict=True)), b""], pa.binary()),
             ],
             names=["cp", "block", "seen", "kinds"],
         )
@@ -349,7 +364,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, settings:
         asks = rows.groupBy("block").applyInArrow(_asks_of(None, 0, s, parts), ASKS) if answers is None else rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
             _asks_of(known, level, s, parts), ASKS
         )
-        reply = answer_base if level == 0 else answer_level(known.heavy, s.slack)
+        reply = answer_base if level == 0 else answer_level(known.heavy, s.slack, s.merge)
         got = materialize(asks.repartition(parts, "cp").mapInArrow(reply, ANSWERS).withColumn("level", F.lit(level)), f"answers-{level}", "lz4")
         sums = [bytes(r["seen"]) for r in got.where("block = -1").select("seen").toLocalIterator()]
         if level == 0:

@@ -1,7 +1,11 @@
+import tracemalloc
+
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from stratum.llm.suffix_model import Settings, score_texts
+from stratum.llm.suffix_model import Level, Settings, answer_level, ask, score_texts, unsqueeze
 
 COLUMNS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -47,3 +51,39 @@ def test_repeated_rows_and_null_ids(spark):
     for r in got:
         by_text.setdefault((r["doc_id"] == 2), set()).add(round(r["score"], 9))
     assert all(len(v) == 1 for v in by_text.values())
+
+
+@pytest.mark.parametrize("merge", [1, 300])
+def test_pairs_summed_by_ranges(spark, merge):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(result(score_texts(frame, settings=Settings(least=2, block=1 << 15, merge=merge))), brute.suffix_tree_scores(rows, least=2))
+
+
+def test_memory_of_a_partition():
+    """A million pairs of which one context has a third: the sums, and memory for each pair."""
+    random, blocks, n = np.random.default_rng(5), 32, 32_000
+    contexts = np.sort(random.integers(1, 1 << 63, 2000, dtype=np.uint64))
+    tables, asked, counts = [], [], []
+    for block in range(blocks):
+        which = np.sort(np.where(random.random(n) < 0.3, 700, random.integers(0, len(contexts), n)))
+        pair = random.choice(1 << 18, n, replace=False).astype(np.uint64) * np.uint64(0x3FFFFFF1)
+        order = np.lexsort((pair, which))
+        context, pair = contexts[which], pair[order]
+        count = random.integers(0, 4, n)
+        tables.append(ask(Level(np.zeros(n, np.int64), context, pair, count, np.full(n, 0.125), np.full(n, 100_000), which, which), block, False))
+        asked.append(context * np.uint64(3) ^ pair)
+        counts.append(count)
+    batches = pa.concat_tables(tables).to_batches()
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(answer_level(1e9, 1.0)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    _, number = np.unique(np.concatenate(asked), return_inverse=True)
+    want = np.bincount(number, np.concatenate(counts))[number]
+    got = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in out.column("seen")[:blocks]])
+    assert got.tolist() == want.astype(int).tolist()
+    assert peak < 64 * blocks * n
