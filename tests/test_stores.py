@@ -1,7 +1,9 @@
 """Stores, snapshots, requests, forks and the jobs around them on small cases."""
 
+import random
 import time
 
+import pandas as pd
 import pytest
 from block_feed import ROWS
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from stratum.reader import Metrics, Reader
 from stratum.sources.indexstore import IndexStore
 from stratum.sources.live import LiveBlocks
 from stratum.sources.logstore import LogStore
+from stratum.streaming import finality as finality_module
 from stratum.streaming import requests as wr
 from stratum.streaming.finality import ROCKSDB, final_blocks
 from stratum.streaming.ingest import start_requests, write_requests
@@ -284,6 +287,62 @@ def test_finality_keeps_its_head(spark, tmp_path):
     assert sum(finality(spark, tmp_path, batches), []) == ["1a", "2a", "3a"]
 
 
+class _State(dict):
+    """A stub of keyed state that counts what is put into it."""
+
+    puts = 0
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.puts += 1
+        self[k] = v
+
+    containsKey, getValue, removeKey, iterator = dict.__contains__, dict.__getitem__, dict.__delitem__, dict.items  # noqa: N815
+
+
+class _Value(list):
+    exists, get = list.__len__, lambda self: self[0]
+
+    def update(self, v):
+        self[:] = [v]
+
+
+def test_finality_keeps_only_waiting_blocks():
+    state = _State()
+    f = finality_module.Finality()
+    f.waiting, f.final, f.head = state, _Value(), _Value()
+    rows = [(str(n), n, str(n - 1), max(0, n - 3), "w") for n in range(1, 5001)]
+    frames = [pd.DataFrame(rows[i : i + 999], columns=["id", "num", "parent_id", "lib_num", "payload"]) for i in range(0, 5000, 999)]
+    out = pd.concat(f.handleInputRows(("c",), iter(frames), None))
+    assert out["num"].tolist() == list(range(1, 4998)) and sorted(state) == [("4998",), ("4999",), ("5000",)] and state.puts == 3
+    more = pd.DataFrame([("5001", 5001, "5000", 4999, "w")], columns=frames[0].columns)
+    assert [r for df in f.handleInputRows(("c",), iter([more]), None) for r in df["id"]] == ["4998", "4999"] and sorted(state) == [("5000",), ("5001",)]
+
+
+def test_finality_of_a_table_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(finality_module, "RANGE_ROWS", 7)
+    rng, rows, want = random.Random(3), [], set()
+    for chain in ("a", "b", "late", "one", None):
+        top = 1 if chain == "one" else rng.randint(40, 90)
+        blocks = {}
+        for n in range(1, top + 1):
+            for kind in "mxy"[: rng.randint(1, 3)]:  # side blocks hang on the main chain, on each other, far below or on nothing
+                parents = [f"m{n - 1}"] if kind == "m" else [f"m{n - 1}", f"x{n - 1}", f"m{max(0, n - 30)}", "none"]
+                blocks[f"{kind}{n}"] = (n, rng.choice(parents), max(0, n - 5))
+        if chain == "late":
+            del blocks["m20"]
+        blocks["m%d" % (top + 1)] = (top + 1, f"m{top}", top - 4)
+        rows += [(chain, i, n, p, lib, "w" + i) for i, (n, p, lib) in blocks.items()]
+        at, lib = f"m{top + 1}", top - 4
+        while chain != "late" and at in blocks:
+            want |= {(chain, at, blocks[at][0], blocks[at][1], "w" + at)} if blocks[at][0] <= lib else set()
+            at = blocks[at][1]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "chain string, id string, num long, parent_id string, lib_num long, payload string")
+    got = [tuple(r) for r in final_blocks(table).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    assert final_blocks(table.limit(0)).count() == 0
+
+
 def test_live_source(spark, tmp_path):
     spark.dataSource.register(LiveBlocks)
     query = (
