@@ -112,6 +112,43 @@ def test_index_jobs(spark, tmp_path, monkeypatch):
     assert maintenance.reindex_tablet(indexes, both, 1, "none") == (None, False)
 
 
+def marked_log(spark, monkeypatch):
+    """A log of random changes with rows written again, snapshots above, below and between them, small ranges, and each snapshot's rows and counts."""
+    monkeypatch.setattr(indexing, "RANGE", 4)
+    monkeypatch.setattr(indexing, "CHUNK", 3)
+    rng = random.Random(5)
+    rows = [(1, rng.choice(["a", "b", None]), rng.choice([*range(40, 90), None]), rng.choice("pqrs"), rng.choice(["v", "w", None]), i) for i in range(600)]
+    at = {(c, h) for c in ("a", "b", "none") for h in rng.sample(range(20, 120), 40)} | {(None, 60)}
+    state, counts = {}, {}
+    for c, h in at:
+        mine = sorted((r for r in rows if c is not None and r[1] == c and r[2] is not None and r[2] <= h), key=lambda r: (r[2], r[5]))
+        state[c, h] = {r[3]: (r[2], r[4]) for r in mine}
+        counts[c, h] = len({(r[2], r[3]) for r in mine})
+    live = {k: {(p, h) for p, (h, v) in s.items() if v is not None} for k, s in state.items()}
+    before = {(c, h): max((x for d, x in at if d == c and x < h), default=None) for c, h in at}
+    since = {(c, h): n - counts.get((c, before[c, h]), 0) for (c, h), n in counts.items()}
+    marks = spark.createDataFrame([(1, *k) for k in sorted(at, key=str)], "collection int, identifier string, at_height long")
+    return spark.createDataFrame(rows, LOG), marks.unionByName(marks.limit(5)), live, since
+
+
+def test_rebuilding_over_ranges_of_heights(spark, monkeypatch):
+    log, marks, live, since = marked_log(spark, monkeypatch)
+    got = [(r["identifier"], r["at_height"], r["pk"], r["height"]) for r in indexing.reindex(log, marks).collect()]
+    assert sorted(got) == sorted((*k, *x) for k, rows in live.items() for x in rows) and len(got) > 100
+    assert {(r["identifier"], r["at_height"]): r["squelched"] for r in indexing.squelched(log, marks).collect()} == since
+
+
+def test_large_snapshot_is_written_by_several_tasks(spark, tmp_path):
+    indexes = IndexStore(LogStore(spark, str(tmp_path)))
+    rows = spark.range(20000).select(F.lit(1).alias("collection"), F.lit("t").alias("identifier"), F.col("id").alias("pk"), F.lit(9).cast("long").alias("at_height"), F.col("id").alias("height"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        indexes.write(rows, rows.limit(1).select("collection", "identifier", "at_height", F.lit(20000).cast("long").alias("squelched")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "index_rows" / "run=0").glob("*.parquet"))) == 4 and indexes.rows(indexes.at(9)).count() == 20000
+
+
 def test_index_pruning(spark, tmp_path):
     indexes = IndexStore(LogStore(spark, str(tmp_path)))
     assert maintenance.prune_tablet_indexes(indexes, 2) == maintenance.Counts(0, 0, 0)
