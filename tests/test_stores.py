@@ -138,6 +138,12 @@ def test_rebuilding_over_ranges_of_heights(spark, monkeypatch):
     assert {(r["identifier"], r["at_height"]): r["squelched"] for r in indexing.squelched(log, marks).collect()} == since
 
 
+def test_live_counts_over_ranges_of_heights(spark, monkeypatch):
+    log, marks, live, _ = marked_log(spark, monkeypatch)
+    got = [((r["identifier"], r["at_height"]), r["live_rows"]) for r in indexing.live_counts(log, marks).collect()]
+    assert dict(got) == {k: len(v) for k, v in live.items()} and len(got) == len(live)
+
+
 def test_large_snapshot_is_written_by_several_tasks(spark, tmp_path):
     indexes = IndexStore(LogStore(spark, str(tmp_path)))
     rows = spark.range(20000).select(F.lit(1).alias("collection"), F.lit("t").alias("identifier"), F.col("id").alias("pk"), F.lit(9).cast("long").alias("at_height"), F.col("id").alias("height"))
