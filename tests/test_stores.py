@@ -112,6 +112,29 @@ def test_index_jobs(spark, tmp_path, monkeypatch):
     assert maintenance.reindex_tablet(indexes, both, 1, "none") == (None, False)
 
 
+def counting(spark, rows):
+    """Rows, and an accumulator of how many of them were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    return rows.mapInPandas(count, rows.schema), made
+
+
+def test_index_job_reads_the_log_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexing, "INDEX_AFTER", 3)
+    indexes = IndexStore(LogStore(spark, str(tmp_path)))
+    log, made = counting(spark, tablet(spark, [(1, "a", "1"), (1, "a", None), (2, "b", "1"), (3, "b", "2"), (5, "c", None), (5, "c", "2"), (6, "d", "1"), (6, "b", None)]))
+    first = maintenance.index_tables(indexes, log, 3)
+    assert [(r["squelched"], r["row_count"]) for r in first.collect()] == [(3, 1)] and made.value <= 2 * 8
+    second = maintenance.index_tables(indexes, log, 6)
+    assert [(r["squelched"], r["row_count"]) for r in second.collect()] == [(3, 2)] and made.value <= 4 * 8
+    assert sorted((r["pk"], r["height"]) for r in indexes.rows(indexes.at(6)).collect()) == [("c", 5), ("d", 6)]
+
+
 def marked_log(spark, monkeypatch):
     """A log of random changes with rows written again, snapshots above, below and between them, small ranges, and each snapshot's rows and counts."""
     monkeypatch.setattr(indexing, "RANGE", 4)
