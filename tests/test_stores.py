@@ -233,6 +233,14 @@ def test_requests(spark, tmp_path):
     assert store.read("kept").count() == 1
 
 
+def test_requests_are_made_once(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path), buckets=2)
+    frame, made = counting(spark, wr.as_frame(spark, [request(h, [(b"%03d" % h, b"v")], [b"s"]) for h in range(1, 6)]))
+    done = write_requests(store, frame, 0)
+    assert (done.requests, done.tablet_rows, done.singlet_entries, store.checkpoint().height) == (5, 5, 5, 5)
+    assert made.value == 5 and store.read("tablets").count() == 5
+
+
 def test_checkpoint_versions(spark, tmp_path):
     store = LogStore(spark, str(tmp_path))
     for h in range(1, 6):
